@@ -7,18 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, simhash
 from .common import table
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda p: array_to_string(w[p:p + 12], ' '))) AS win, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
+o AS (SELECT DISTINCT win, k FROM i),
+ks AS (SELECT DISTINCT k FROM o),
+x AS (SELECT rid, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, ks WHERE len(w) >= k),
+y AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM x),
+m AS (SELECT y.rid, y.k, y.p, y.win FROM y JOIN o ON y.k = o.k AND y.win = o.win),
+h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT m.rid, i.item FROM m JOIN i ON m.k = i.k AND m.win = i.win) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+    sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    return {f.__name__: f for f in (op8_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": OP8_SQL}
