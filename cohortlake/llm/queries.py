@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, sharding, simhash
+from . import chat, decontaminate, mixing, secretscan, sharding, simhash
 from .common import table
 
 
@@ -44,6 +44,44 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("spans", lambda x: x.rank == rank)).cast("long")
+    base = F.filter("spans", lambda x: x.rank < 3)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secretscan.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secretscan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def _op3_sql() -> str:
+    def kind(rank: int, pattern: str, group: int, least: int) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""SELECT rid, {rank} AS rank, string_split_regex(text, '{quoted}') AS ps, regexp_extract_all(text, '{quoted}', 0) AS ws, regexp_extract_all(text, '{quoted}', {group}) AS vs, {least} AS least FROM d"""
+
+    kinds = " UNION ALL ".join((kind(0, secretscan.ASSIGN, 2, 8), kind(1, secretscan.ACCESS, 0, 16), kind(2, secretscan.HEX, 0, 32)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+k AS ({kinds}),
+u AS (SELECT rid, rank, least, unnest(range(1, len(ws) + 1)) AS i, ps, ws, vs FROM k WHERE len(ws) > 0),
+v AS (SELECT rid, rank, least, i, length(ps[i]) AS pl, length(ws[i]) AS wl, vs[i] AS value FROM u),
+m AS (SELECT rid, rank, value, least, sum(pl + wl) OVER (PARTITION BY rid, rank ORDER BY i) AS stop, wl FROM v),
+b AS (SELECT rid, rank, CAST(stop - wl AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, value FROM m WHERE length(value) >= least),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM b JOIN d USING (rid) GROUP BY value),
+j AS (SELECT b.*, CASE WHEN owners >= 3 THEN 3 WHEN owners = 1 AND len(list_distinct(string_split(b.value, ''))) >= 8 AND regexp_matches(b.value, '[0-9]') AND regexp_matches(b.value, '[A-Za-z]') THEN 4 END AS verdict FROM b JOIN o ON b.value = o.value),
+a AS (SELECT rid, rank, start, stop FROM j UNION ALL SELECT rid, verdict, stop - length(value), stop FROM j WHERE verdict IS NOT NULL),
+n AS (SELECT rid, rank, start, stop, ['assign', 'access', 'hex', 'copied', 'live'][rank + 1] || ':' || start || ':' || stop AS s FROM a),
+g AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+    string_agg(s, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(s, ',' ORDER BY start, rank, stop) AS spans FROM n GROUP BY rid)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.rid = g.rid
+"""
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -110,8 +148,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op6_mix, op7_shard, op8_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat, op3_secrets, op6_mix, op7_shard, op8_decontaminate, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op6_mix": OP6_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_chat": OP1_SQL, "op3_secrets": _op3_sql(), "op6_mix": OP6_SQL, "op8_decontaminate": OP8_SQL}
