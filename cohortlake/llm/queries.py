@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, secretscan, sharding, simhash
+from . import chat, decontaminate, media, mixing, secretscan, sharding, simhash, tokencount
 from .common import table
 
 
@@ -44,6 +44,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.token_counts(docs).select("doc_id", "tokens.n_words", "tokens.n_tokens")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("spans", lambda x: x.rank == rank)).cast("long")
@@ -142,13 +147,27 @@ FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid
 """
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = media.media_columns(table(spark, sf_dir, "documents"))
+    return columns.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op3_secrets, op6_mix, op7_shard, op8_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat, op2_tokens, op3_secrets, op6_mix, op7_shard, op8_decontaminate, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
