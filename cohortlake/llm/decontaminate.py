@@ -109,9 +109,7 @@ def _pass(shared, text: Column, before: Column | None) -> Column:
             yield found(batch, was.to_pylist())
 
     if before is None:
-        first.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(first, FOUND).asNondeterministic()(text)
-    later.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(later, FOUND).asNondeterministic()(text, before)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, mixing, secretscan, sharding, simhash, tokencount
+from . import chat, decontaminate, langmodel, media, mixing, secretscan, sharding, simhash, tokencount
 from .common import table
 
 
@@ -87,6 +87,10 @@ SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coale
 """
 
 
+def op5_langmodel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -167,7 +171,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_tokens, op3_secrets, op6_mix, op7_shard, op8_decontaminate, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat, op2_tokens, op3_secrets, op5_langmodel, op6_mix, op7_shard, op8_decontaminate, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

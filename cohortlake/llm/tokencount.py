@@ -156,5 +156,4 @@ def token_counts(docs: DataFrame, text: str | Column = "text", vocabulary: str |
     """
     shared = docs.sparkSession.sparkContext.broadcast(piece_scores(vocabulary or default_vocabulary()))
     run = _counts(shared)
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(out, F.arrow_udf(run, "struct<n_words: bigint, n_tokens: bigint>").asNondeterministic()(utf8(text)))
