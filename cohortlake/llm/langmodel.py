@@ -6,8 +6,8 @@ k-means over their spelling, with the end mark on its own, other words by a hash
 
     P(word | history) = P(class | history) * P(word | class)
 
-P(class | history) is a softmax over hashed features of the three words before: a bias, the last
-word, the last two together, and the second and third last alone (skips). Weights are trained by
+P(class | history) is a softmax over hashed features of the two words before: a bias, the last
+word, the last two together, and the second last alone (a skip). Weights are trained by
 distributed gradient updates over all training texts: every partition takes minibatch steps from
 the same weights, and the changes are averaged by row, weighted by how often a row was touched.
 P(word | class) is the add-0.1 relative frequency in the class, one share for an unseen word.
@@ -34,14 +34,15 @@ ADD = 0.1
 HEAD_WORDS = 1 << 16
 HEAD_BYTES = 64
 #: Classes of head words, besides the end mark's, and of other words.
-HEAD_CLASSES = 23
-TAIL_CLASSES = 8
+HEAD_CLASSES = 11
+TAIL_CLASSES = 4
 CLASSES = 1 + HEAD_CLASSES + TAIL_CLASSES
 #: Rows of the hashed weight table.
 BUCKETS = 1 << 16
-FEATURES = 5
 STEP = 0.25
-MINIBATCH = 16384
+#: Places per step: the least, the most, and in between a share of the places seen so far.
+MINIBATCH = (4096, 65536)
+MINIBATCH_SHARE = 8
 #: Distinct words that a worker counts before it hands them on.
 FLUSH = 500_000
 #: Weight rows that travel together.
@@ -107,7 +108,8 @@ class Model:
         words = [w for w, _ in head if w != END]
         self.index = {w: i for i, w in enumerate(words)} | {END: len(words)}
         n = len(self.index)
-        counts = np.array([dict(head).get(w, 0) for w in self.index], np.float64)
+        of = dict(head)
+        counts = np.array([of.get(w, 0) for w in self.index], np.float64)
         self.classes = np.zeros(n, np.int64)
         if words:
             self.classes[: n - 1] = _spelling_classes(words)
@@ -145,26 +147,25 @@ def base_total(tokens: int, types: int) -> float:
 
 
 def _rows(history: np.ndarray) -> np.ndarray:
-    """Weight rows (FEATURES, n) for histories (3, n) of the last, second and third last word."""
-    one, two, three = history.astype(np.uint64)
+    """Hashed weight rows (3, n) for histories (2, n) of the last and second last word."""
+    one, two = history.astype(np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
-    keys = [one * np.uint64(4) + np.uint64(1), (one * np.uint64(0x100000001B3) ^ two) * np.uint64(4) + np.uint64(2), two * np.uint64(4) + np.uint64(3), three * np.uint64(4)]
-    hashed = [((k + np.uint64(1)) * mix >> np.uint64(48)).astype(np.int64) % BUCKETS for k in keys]
-    return np.stack([np.full(history.shape[1], BUCKETS), *hashed])
+    keys = (one * np.uint64(4) + np.uint64(1), (one * np.uint64(0x100000001B3) ^ two) * np.uint64(4) + np.uint64(2), two * np.uint64(4) + np.uint64(3))
+    return np.stack([((k * mix) >> np.uint64(48)).astype(np.int64) % BUCKETS for k in keys])
 
 
 def _history(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The three ids before each place; places before a text's start are the end mark."""
-    out = np.empty((3, len(ids)), np.int64)
+    """The two ids before each place; before a text's start there is a mark for each distance."""
+    out = np.empty((2, len(ids)), np.int64)
     at = np.arange(len(ids)) - starts
-    for back in (1, 2, 3):
+    for back in (1, 2):
         out[back - 1] = np.where(at >= back, np.roll(ids, back), (1 << 40) + back)
     return out
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of the classes, natural."""
-    logits = weights[rows[0]]
+    logits = weights[rows[0]] + weights[BUCKETS]
     for r in rows[1:]:
         logits += weights[r]
     logits -= logits.max(axis=1, keepdims=True)
@@ -183,20 +184,20 @@ def _stream(model: Model, data: bytes) -> Iterator[tuple[np.ndarray, list[bytes]
 
 
 def _batched(model: Model, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, list[bytes]]]]]:
-    """(ids, starts, owner of each place, rare words by owner) in batches of about MINIBATCH places."""
+    """(ids, starts, owner of each place, rare words by owner) in batches of about MINIBATCH[1] places."""
     ids, starts, owners, rare, held = [], [], [], [], 0
     for owner, data in rows:
         context = np.zeros(0, np.int64)
         for own, tail in _stream(model, data):
-            # up to three places of context lead a text's later blocks; they belong to nobody
+            # up to two places of context lead a text's later blocks; they belong to nobody
             ids += [context, own]
             starts.append(np.full(len(context) + len(own), held))
             owners += [np.full(len(context), -1), np.full(len(own), owner)]
             held += len(context) + len(own)
-            context = np.concatenate([context, own])[-3:]
+            context = np.concatenate([context, own])[-2:]
             if tail:
                 rare.append((owner, tail))
-            if held >= MINIBATCH:
+            if held >= MINIBATCH[1]:
                 yield np.concatenate(ids), np.concatenate(starts), np.concatenate(owners), rare
                 ids, starts, owners, rare, held = [], [], [], [], 0
     if held:
@@ -209,28 +210,35 @@ def _train_batches(shared):
         weights = model.weights.copy()
         squares = np.full(weights.shape, 1e-2, np.float32)
         touched = np.zeros(len(weights), np.int64)
+        columns = np.arange(CLASSES)
         rows = ((0, x) for batch in batches for part in texts(batch.column(0)) for x in part)
+        seen = 0
         for ids, starts, owners, _ in _batched(model, rows):
             real = owners >= 0
             features = _rows(_history(ids, starts)[:, real])
             classes = model.classes_of(ids[real])
-            for at in range(0, len(classes), MINIBATCH):
-                some, right = features[:, at : at + MINIBATCH], classes[at : at + MINIBATCH]
+            at = 0
+            while at < len(classes):
+                size = min(max(MINIBATCH[0], seen // MINIBATCH_SHARE), MINIBATCH[1])
+                some, right = features[:, at : at + size], classes[at : at + size]
                 slope = np.exp(_softmax(weights, some))
                 slope[np.arange(len(right)), right] -= 1
-                for which, keys in enumerate(some):
-                    if which == 0:
-                        unique, sums, counts = np.array([BUCKETS]), slope.sum(axis=0, keepdims=True), np.array([len(right)])
-                    else:
-                        order = np.argsort(keys.astype(np.uint16), kind="stable")
-                        ordered = keys[order]
-                        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                        unique, counts = ordered[first], np.diff(np.append(first, len(ordered)))
-                        sums = np.add.reduceat(slope[order], first, axis=0)
-                    mean = sums / np.sqrt(counts)[:, None].astype(np.float32)
-                    squares[unique] += mean * mean
-                    weights[unique] -= STEP * mean / np.sqrt(squares[unique])
-                    touched[unique] += counts
+                counts = np.bincount(some.ravel(), minlength=len(weights))
+                counts[BUCKETS] = len(right)
+                own = np.flatnonzero(counts)
+                place = np.cumsum(counts > 0) - 1
+                sums = np.empty((len(own), CLASSES), np.float32)
+                keys = place[some.ravel()]
+                for c in columns:
+                    sums[:, c] = np.bincount(keys, np.tile(slope[:, c], len(some)), len(own))
+                sums[-1] = slope.sum(axis=0)
+                sums /= np.sqrt(counts[own])[:, None].astype(np.float32)
+                square = squares[own] + sums * sums
+                squares[own] = square
+                weights[own] -= STEP * sums / np.sqrt(square)
+                touched += counts
+                seen += len(right)
+                at += size
         change = (weights - model.weights) * touched[:, None]
         for at in range(0, len(weights), BLOCK):
             if touched[at : at + BLOCK].any():
@@ -299,9 +307,9 @@ def _score_batches(shared):
                 at = np.minimum(words, size - 1)
                 right = model.classes_of(words)
                 values = np.where(head, model.in_class[at], 0.0)
-                for a in range(0, len(own), MINIBATCH):
-                    some = _softmax(model.weights, features[:, a : a + MINIBATCH])
-                    values[a : a + MINIBATCH] += some[np.arange(len(some)), right[a : a + MINIBATCH]] / ten
+                for a in range(0, len(own), MINIBATCH[1]):
+                    some = _softmax(model.weights, features[:, a : a + MINIBATCH[1]])
+                    values[a : a + MINIBATCH[1]] += some[np.arange(len(some)), right[a : a + MINIBATCH[1]]] / ten
                 low, width = own.min(), own.max() - own.min() + 1
                 for out, x in ((score, values), (base, np.where(head, model.base[at], 0.0)), (known, head & model.known[at])):
                     out[low : low + width] += np.bincount(own - low, x, width)
