@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langmodel, media, mixing, secretscan, sharding, simhash, tokencount
+from . import chat, decontaminate, langmodel, media, mixing, secretscan, sharding, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -87,6 +87,12 @@ SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coale
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_langmodel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -171,7 +177,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_tokens, op3_secrets, op5_langmodel, op6_mix, op7_shard, op8_decontaminate, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat, op2_tokens, op3_secrets, op4_toxicity, op5_langmodel, op6_mix, op7_shard, op8_decontaminate, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
