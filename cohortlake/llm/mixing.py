@@ -22,10 +22,13 @@ WEIGHTS = (1, 2, 3)
 RANGE_DIGITS = 3
 
 
+def n_words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """(id, source, size, key): size in words (null text: 0), key a hash of seed, id and size."""
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
     return sized.withColumn("key", mix_key(seed))
 
 

@@ -122,6 +122,23 @@ def slot_bytes(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
 
+def _grown(spark: SparkSession, shards: int, slots: int) -> DataFrame:
+    """(virtual_slot, shard, grown_shard): the map for ``shards`` shards and for one more; ``slots`` rows."""
+    plan = SlotMap.for_shards(shards, slots)
+    plan.add_shard()
+    return spark.createDataFrame(list(zip(range(slots), *plan.versions, strict=True)), "virtual_slot int, shard int, grown_shard int")
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """``docs`` with virtual_slot, shard and grown_shard, without a shuffle.
+
+    These three columns replace any of the same names. Rows with a null id share one slot.
+    """
+    docs = docs.drop("virtual_slot", "shard", "grown_shard").withColumn("virtual_slot", virtual_slot(id_col, slots))
+    placed = docs.join(F.broadcast(_grown(docs.sparkSession, shards, slots)), "virtual_slot")
+    return placed.select(*(c for c in docs.columns if c != "virtual_slot"), "virtual_slot", "shard", "grown_shard")
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(id, size, text_crc32, virtual_slot, slot_bytes, shard, slot, grown_shard): a row per row.
 
@@ -135,10 +152,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """
     spark = docs.sparkSession
     recs = pin(records(docs, id_col, text_col, slots))
-    plan = SlotMap.for_shards(shards, slots)
-    plan.add_shard()
-    before, after = plan.versions
-    mapped = spark.createDataFrame(list(zip(range(slots), before, after, strict=True)), "virtual_slot int, shard int, grown_shard int")
+    mapped = _grown(spark, shards, slots)
     parts = recs.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     earlier = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.join(F.broadcast(mapped), "virtual_slot").select(

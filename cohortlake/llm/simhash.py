@@ -61,9 +61,13 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([fingerprint_of(x) for part in texts(batch) for x in part], pa.int64())
 
 
+def fingerprint_column(text: str | Column) -> Column:
+    return F.arrow_udf(_fingerprints, "long").asNondeterministic()(utf8(text))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): one row per row of ``docs``. Null and empty texts have fingerprint zero."""
-    return docs.select(F.col(id_col).alias("id"), F.arrow_udf(_fingerprints, "long").asNondeterministic()(utf8(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("fp"))
 
 
 def _flips(fp: str, first: int, last: int) -> Column:

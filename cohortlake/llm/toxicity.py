@@ -209,7 +209,7 @@ def _landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     return chosen or [b"landmark"]
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, decay: float = 1e-2, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, decay: float = 1e-3, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by accelerated gradient steps; ``cost`` weighs the examples."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, z, t = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 1.0
