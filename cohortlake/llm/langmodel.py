@@ -260,6 +260,23 @@ def _average_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "change"])
 
 
+def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most HEAD_WORDS, by count and word.
+
+    Words are first counted by the logarithm of their count, a few hundred rows; the head is all
+    from the lowest step that keeps it in bounds. No task sends the driver more than that.
+    """
+    step = F.floor(16 * F.log2("n"))
+    steps = sorted(((r.s, r.k) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    room, lowest = HEAD_WORDS, None
+    for s, k in steps:
+        if k > room:
+            break
+        room, lowest = room - k, s
+    rows = counts.filter(step >= lowest).collect() if lowest is not None else []
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def train(train_docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = 1) -> Model:
     """The model for the training texts; ``counts`` are their word counts, pinned.
 
@@ -268,8 +285,7 @@ def train(train_docs: DataFrame, counts: DataFrame, text_col: str = "text", roun
     """
     spark = counts.sparkSession
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = counts.filter(F.octet_length("word") <= HEAD_BYTES)
-    head = [(bytes(r.word), r.n) for r in short.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    head = _head(counts.filter(F.octet_length("word") <= HEAD_BYTES))
     total = {bytes(w): n for w, n in head}
     tail_class = F.pmod(F.crc32("word"), F.lit(TAIL_CLASSES))
     every = {r.c: (r.t, r.k) for r in counts.groupBy(tail_class.alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
