@@ -261,7 +261,7 @@ def _average_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most HEAD_WORDS, by count and word.
+    """The most frequent words, at most HEAD_WORDS, and the end mark, by count and word.
 
     Words are first counted by the logarithm of their count, a few hundred rows; the head is all
     from the lowest step that keeps it in bounds. No task sends the driver more than that.
@@ -273,7 +273,8 @@ def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
         if k > room:
             break
         room, lowest = room - k, s
-    rows = counts.filter(step >= lowest).collect() if lowest is not None else []
+    end = F.col("word") == F.lit(END)
+    rows = counts.filter(end if lowest is None else end | (step >= lowest)).collect()
     return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 

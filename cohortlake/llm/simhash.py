@@ -131,9 +131,10 @@ def _links(nodes: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``prints`` (id, fp).
+    """(fp, group, component_id) for the distinct fingerprints of ``prints`` (id, fp).
 
-    component_id is the smallest id of the component; null only if all its ids are null.
+    group is a fingerprint of the component that names it;
+    component_id is its smallest id, null only if all its ids are null.
     """
     nodes = pin(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     near = components(_stars(nodes))
@@ -141,18 +142,18 @@ def near_groups(prints: DataFrame) -> DataFrame:
     far = components(_links(grouped))
     joined = grouped.join(far, grouped.group == far.node, "left").select("fp", "first_id", F.coalesce("root", "group").alias("group"))
     lowest = joined.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    return joined.join(lowest, "group").select("fp", "component_id")
+    return joined.join(lowest, "group").select("fp", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): one row per row of ``docs``.
+    """(id, fp, group, component_id): one row per row of ``docs``.
 
     Null or wordless texts have fingerprint zero and link like any other. Rows with a null id
     take part; their component id is the smallest id that is not null. Repeated rows stay.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     prints = pin(fingerprints(docs, id_col, text_col))
-    return prints.join(near_groups(prints), "fp").select("id", "fp", "component_id")
+    return prints.join(near_groups(prints), "fp").select("id", "fp", "group", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:

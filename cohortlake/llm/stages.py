@@ -30,7 +30,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     found = pin(simhash.near_duplicates(docs))
     chosen = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
-    stays = chosen.groupBy("id").agg(F.min("fp").alias("fp"))
+    stays = chosen.groupBy("group").agg(F.min("fp").alias("fp"), F.min("id").alias("id"))
     repeated = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id")
     return _split(docs, repeated, lambda rest: _once(rest, stays), stays.select("id"))
 
@@ -48,7 +48,7 @@ def _split(docs: DataFrame, repeated: DataFrame, odd, kept: DataFrame) -> DataFr
 def _once(rest: DataFrame, stays: DataFrame) -> DataFrame:
     marked = rest.withColumn(_MARK, simhash.fingerprint_column("text"))
     chosen = marked.join(stays, marked.doc_id.eqNullSafe(stays.id) & (marked[_MARK] == stays.fp), "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).drop(_MARK)
+    return chosen.dropDuplicates(["doc_id", _MARK]).drop(_MARK)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

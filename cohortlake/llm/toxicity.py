@@ -54,7 +54,7 @@ _FOLD = bytes(_FOLD)
 _SENTENCE = re.compile(rb"[.!?]+\s|\n")
 _SPACE = re.compile(rb"\s")
 #: Letters on their own, in a row.
-_SPELLED = re.compile(rb"(?<!\S)[a-zA-Z](?:\s[a-zA-Z]){2,}(?!\S)")
+_SPELLED = re.compile(rb"(?<!\S)[a-zA-Z](?:\s[a-zA-Z]){2,}(?![a-zA-Z0-9])")
 
 #: Five-bit codes: letters 1..26, the start mark 27, bytes above ASCII share 28..31.
 _CODE = np.array([c - 96 if 97 <= c <= 122 else 28 + (c & 3) if c >= 0x80 else 27 if c == 0x5E else 0 for c in range(256)], np.int64)
