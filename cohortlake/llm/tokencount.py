@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +24,10 @@ from .common import texts, utf8, word_blocks
 MARK = "▁"
 #: A character outside the vocabulary scores so much below the worst piece and counts its bytes.
 UNKNOWN_PENALTY = 10.0
-#: Nodes that a worker keeps before it starts a new trie.
-MAX_NODES = 400_000
-#: Longer words are segmented alone and not kept.
+#: Terminal counts that a worker keeps before it starts anew, and words that it looks up together.
+KEEP = 600_000
+TOGETHER = 400_000
+#: Words of more bytes are segmented alone and not kept.
 MAX_SHARED = 256
 
 
@@ -59,71 +60,74 @@ def _backwards(scores: dict[str, float]) -> dict:
 
 
 class Trie:
+    """Counts tokens of words; the trie of a batch of new words is walked in sorted order.
+
+    In that order, words with a common prefix follow each other, so the stacks of best scores and
+    token counts along the current path hold each node once; moving on keeps what the next word
+    shares with the last one.
+    """
+
     def __init__(self, scores: dict[str, float]):
         self.pieces = _backwards(scores)
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.best, self.tokens = [0.0], [0]
         self.terminal: dict[bytes, int] = {}
+        self.nodes = 0
 
-    def _last(self, word: str, end: int, path: list[int], best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and fewest tokens of word[:end]; path[i] is where word[:i] has its own."""
+    def _last(self, word: str, end: int, base: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score and fewest tokens of word[:end]; best[i] and tokens[i] are of word[: base + i]."""
         top, fewest, at = None, 0, self.pieces
-        for start in range(end - 1, -1, -1):
+        for start in range(end - 1, base - 1, -1):
             at = at.get(word[start])
             if at is None:
                 break
             score = at.get("")
             if score is not None:
-                before = path[start]
-                total, n = best[before] + score, tokens[before] + 1
+                total, n = best[start - base] + score, tokens[start - base] + 1
                 if top is None or total > top or total == top and n < fewest:
                     top, fewest = total, n
         char = word[end - 1]
         if "" not in self.pieces.get(char, ()):
-            before = path[end - 1]
-            total, n = best[before] + self.unknown, tokens[before] + len(char.encode())
+            total, n = best[end - 1 - base] + self.unknown, tokens[end - 1 - base] + len(char.encode())
             if top is None or total > top or total == top and n < fewest:
                 top, fewest = total, n
         return top, fewest
 
     def _alone(self, word: str) -> int:
-        """Without the trie: only the scores that a longest piece can reach back to are kept."""
-        size = self.longest
-        best, tokens = [0.0] * (size + 1), [0] * (size + 1)
+        """A long word: only the scores that a longest piece can reach back to are kept."""
+        best, tokens, base = [0.0], [0], 0
         for end in range(1, len(word) + 1):
-            low = max(0, end - size)
-            ring = [i % (size + 1) for i in range(low, end)]
-            slot = end % (size + 1)
-            best[slot], tokens[slot] = self._last(word[low:end], end - low, ring, best, tokens)
-        return tokens[len(word) % (size + 1)]
-
-    def _insert(self, word: str) -> int:
-        child, best, tokens = self.child, self.best, self.tokens
-        node, path = 0, [0]
-        for end, char in enumerate(word, 1):
-            key = node << 21 | ord(char)
-            node = child.get(key)
-            if node is None:
-                b, t = self._last(word, end, path, best, tokens)
-                node = child[key] = len(best)
+            b, t = self._last(word, end, base, best, tokens)
+            best.append(b)
+            tokens.append(t)
+            if len(best) > 64 * self.longest:
+                base += len(best) - self.longest
+                del best[: -self.longest], tokens[: -self.longest]
+        return tokens[-1]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Insert the words that are new and store their terminal counts."""
+        known = self.terminal
+        new = sorted((MARK + w.decode(), w) for w in words if w not in known and len(w) <= MAX_SHARED)
+        if len(known) + len(new) > KEEP:
+            known.clear()
+            new = sorted((MARK + w.decode(), w) for w in words if len(w) <= MAX_SHARED)
+        last, best, tokens = "", [0.0], [0]
+        for text, word in new:
+            shared, most = 0, min(len(last), len(text))
+            while shared < most and last[shared] == text[shared]:
+                shared += 1
+            del best[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(text) + 1):
+                b, t = self._last(text, end, 0, best, tokens)
                 best.append(b)
                 tokens.append(t)
-            path.append(node)
-        return tokens[node]
+            self.nodes += len(text) - shared
+            known[word] = tokens[-1]
+            last = text
 
     def count(self, words: list[bytes]) -> int:
-        """The number of tokens of a list of pre-tokens."""
-        if len(self.best) > MAX_NODES:
-            self.clear()
-        for word in set(words) - self.terminal.keys():
-            text = MARK + word.decode()
-            if len(text) <= MAX_SHARED:
-                self.terminal[word] = self._insert(text)
+        """The number of tokens of a list of pre-tokens that were learnt, or are long."""
         own = self.terminal.get
         return sum(n if (n := own(word)) is not None else self._alone(MARK + word.decode()) for word in words)
 
@@ -132,18 +136,27 @@ def _counts(shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = Trie(shared.value)
         for batch in batches:
-            words, tokens = [], []
-            for part in texts(batch):
-                for data in part:
-                    n = t = 0
-                    for block in word_blocks(data):
-                        n += len(block)
-                        rest = iter(block)
-                        while some := list(islice(rest, 1 << 16)):
-                            t += trie.count(some)
-                    words.append(n)
-                    tokens.append(t)
-            yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["n_words", "n_tokens"])
+            words, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            waiting: list[tuple[int, list[bytes]]] = []
+            held = 0
+
+            def flush() -> None:
+                nonlocal held
+                trie.learn({w for _, block in waiting for w in block})
+                for i, block in waiting:
+                    words[i] += len(block)
+                    tokens[i] += trie.count(block)
+                waiting.clear()
+                held = 0
+
+            for i, data in enumerate(x for part in texts(batch) for x in part):
+                for block in word_blocks(data):
+                    waiting.append((i, block))
+                    held += len(block)
+                    if held >= TOGETHER:
+                        flush()
+            flush()
+            yield pa.StructArray.from_arrays([pa.array(words), pa.array(tokens)], ["n_words", "n_tokens"])
 
     return run
 
