@@ -134,7 +134,7 @@ class Scorer:
         self.known: dict[bytes, np.ndarray | None] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        new = list(words - self.known.keys())
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEEP:
             self.known.clear()
             new = list(words)
@@ -162,7 +162,7 @@ class Scorer:
         return out
 
     def _values(self, words: list[bytes]) -> list[np.ndarray]:
-        if not self.known.keys() >= set(words):  # a word that only a sentence cut brings about
+        if any(w not in self.known for w in words):  # a word that only a sentence cut brings about
             self._learn(set(words))
         return [v for w in words if (v := self.known.get(w)) is not None]
 
