@@ -52,7 +52,7 @@ def encrypt(df: DataFrame, column: str, key: str, out: str, seconds: int = 0) ->
     iv = F.substring(_hmac(data), 1, 16)
     sealed = F.aes_encrypt(data, F.col("_aes"), F.lit("CBC"), F.lit("PKCS"), iv)
     body = F.concat(F.unhex(F.lit("80" + f"{seconds:016x}")), sealed)
-    token = F.translate(F.base64(F.concat(F.col("_body"), _hmac(F.col("_body")))), "+/", "-_")
+    token = F.translate(F.base64(F.concat(F.col("_body"), _hmac(F.col("_body")))), "+/\r\n", "-_")
     made = keyed.withColumn("_body", F.when(F.col(column) != "", body))
     return made.withColumn(out, token).drop("_ipad", "_opad", "_aes", "_body")
 

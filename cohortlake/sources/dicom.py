@@ -47,6 +47,9 @@ VRS = {
 }
 VR_OF = {tag: vr for vr, tags in VRS.items() for tag in tags.split()}
 
+# Fixed values of the standard: the sealed attributes' sequence and what it holds.
+SEALED_SEQUENCE, SEALED = "0400,0500", ("0400,0510", "0400,0520")
+
 RECORD = (
     "struct<error: string, patient_id: string, patient_name: string, study_instance_uid: string, study_date: string, study_time: string, series_instance_uid: string, modality: string, series_number: string, "
     "manufacturer: string, model_name: string, device_serial_number: string, sop_instance_uid: string, sop_class_uid: string, instance_number: string, attributes: map<string,string>, "
@@ -111,7 +114,7 @@ class _Reader:
                 at = self.pixels(start, length)
                 continue
             raw, at = self.data[start : start + length], start + length
-            if vr not in BULK_VRS:
+            if vr not in BULK_VRS or tag in SEALED:
                 found[tag] = _value(vr, raw)
                 if path:
                     self.items.append((path, tag, vr, found[tag]))
@@ -177,6 +180,9 @@ def parse(data: bytes) -> dict:
     found, _ = reader.elements(at, len(data), syntax != IMPLICIT)
     if not found.get("0008,0018"):
         raise ValueError("no SOPInstanceUID")
+    sealed = {tag: value for path, tag, _, value in reader.items if path == f"{SEALED_SEQUENCE}[0]" and tag in SEALED}
+    found |= sealed
+    reader.items = [x for x in reader.items if not x[0].startswith(SEALED_SEQUENCE)]
     out = {k: found.get(tag, default) for k, (tag, default) in LINKS.items()}
     out |= {"error": None, "attributes": list(found.items()), "items": [dict(zip(("item_path", "tag", "vr", "value"), x, strict=True)) for x in reader.items]}
     number = lambda tag, default: int(float(found.get(tag) or default))
@@ -272,7 +278,17 @@ def _encoded(vr: str, value: str) -> bytes:
 
 
 def write(attributes: dict[str, str], items: list[dict] = (), pixels: bytes | None = None, bits: int = 16) -> bytes:
-    """An explicit little-endian file. Nested items are rebuilt from their paths."""
+    """An explicit little-endian file. Nested items are rebuilt from their paths.
+
+    A code in an attribute that is a sequence becomes an item; sealed attributes go into theirs.
+    """
+    codes = {t: v for t, v in attributes.items() if VR_OF.get(t) == "SQ"}
+    sealed = {t: attributes[t] for t in SEALED if attributes.get(t)}
+    attributes = {t: v for t, v in attributes.items() if t not in codes and t not in SEALED}
+    items = [x for x in items if not x["item_path"].startswith(tuple(codes))] if codes else list(items)
+    for t, code in codes.items():
+        items += [{"item_path": f"{t}[0]", "tag": tag, "vr": "SH", "value": v} for tag, v in (("0008,0100", code), ("0008,0102", "DCM"))]
+    items += [{"item_path": f"{SEALED_SEQUENCE}[0]", "tag": t, "vr": VR_OF[t], "value": v} for t, v in sealed.items()]
     meta = _element("0002,0001", "OB", b"\0\1") + _element("0002,0002", "UI", (attributes.get("0008,0016") or "").encode()) + _element("0002,0003", "UI", attributes["0008,0018"].encode()) + _element("0002,0010", "UI", EXPLICIT.encode())
     body = {t: _element(t, VR_OF.get(t, "LO" if len(v) <= 64 else "UT"), _encoded(VR_OF.get(t, "LO" if len(v) <= 64 else "UT"), v)) for t, v in attributes.items() if v is not None and t.count(",") == 1 and not t.startswith(("_", "0000", "0002", "7fe0"))}
     body |= _nested("", list(items))
