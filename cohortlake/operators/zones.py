@@ -51,7 +51,7 @@ def plan(cohort: Cohort, zones: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("r1", "r2", "c1", "c2"))).alias("zones")
     )
     hashed = per_machine.withColumn("config_hash", F.md5(F.to_json(F.struct("device_serial_number", "zones")).cast("binary")))
-    series = cohort.series.select("series_instance_uid", "device_serial_number").join(F.broadcast(hashed), "device_serial_number")
+    series = cohort.series.select("series_instance_uid", "device_serial_number").join(hashed, "device_serial_number")
     return cohort.instances.select("sop_instance_uid", "series_instance_uid").join(series, "series_instance_uid").select("sop_instance_uid", "device_serial_number", "zones", "config_hash")
 
 
@@ -59,7 +59,7 @@ def preview(cohort: Cohort, rules: DataFrame) -> DataFrame:
     """(serial_number, n_images) of each rule; nothing is changed. Wildcards count nothing here."""
     per_series = cohort.instances.groupBy("series_instance_uid").agg(F.count("*").alias("n"))
     images = cohort.series.join(per_series, "series_instance_uid").groupBy("device_serial_number").agg(F.sum("n").alias("n_images"))
-    return F.broadcast(rules.select("serial_number").distinct()).join(images, F.col("serial_number") == F.col("device_serial_number"), "left").select("serial_number", F.coalesce("n_images", F.lit(0)).alias("n_images"))
+    return rules.select("serial_number").distinct().join(images, F.col("serial_number") == F.col("device_serial_number"), "left").select("serial_number", F.coalesce("n_images", F.lit(0)).alias("n_images"))
 
 
 def fill_vector(values: Column, rows: int, cols: int, zones: list[tuple[float, float, float, float]]) -> Column:
