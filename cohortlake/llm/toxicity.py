@@ -138,8 +138,8 @@ class Scorer:
         if len(self.known) + len(new) > KEEP:
             self.known.clear()
             new = list(words)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
             values = self.model.kernel(some)
             like = values.max(axis=1) >= FLOOR
             self.known.update(zip(some, (v if ok else None for v, ok in zip(values, like, strict=True)), strict=True))
@@ -192,7 +192,7 @@ def _landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     t, c = max(1, len(toxic)), max(1, len(clean))
     least = max(2, t // 400)  # a word of a single text tells nothing
     telling = {w: np.log((n + 0.5) / (t + 1) / ((other[w] + 0.5) / (c + 1))) * np.sqrt(n) for w, n in often.items() if n >= least and 3 <= len(w) <= MAX_WORD}
-    ranked = sorted((w for w, v in telling.items() if v > 0), key=lambda w: (-telling[w], w))[: 20 * LANDMARKS]
+    ranked = sorted((w for w, v in telling.items() if v > 0), key=lambda w: (-telling[w], w))[: 6 * LANDMARKS]
     chosen: list[bytes] = []
     if ranked:
         alike = Kernel(ranked)(ranked)
