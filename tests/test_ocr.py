@@ -13,7 +13,7 @@ def test_images():
 
 
 def test_regions_from_an_engine(spark):
-    frames = spark.createDataFrame([("a", 4, 4, 1, 2, 8, 0, bytearray(range(32)))], "sop_instance_uid string, rows int, cols int, samples int, frames int, bits int, pixel_repr int, pixels binary")
+    frames = spark.createDataFrame([("a", 4, 5, 1, 2, 8, 0, bytearray(range(40)))], "sop_instance_uid string, rows int, cols int, samples int, frames int, bits int, pixel_repr int, pixels binary")
     instances = spark.createDataFrame([("a", {"0010,0010": "x"})], "sop_instance_uid string, attributes map<string,string>")
     engine = lambda: lambda image: [(f"T{image.shape[0]}", 1, 2, 3, 4, 90.0), (" ", 0, 0, 1, 1, 90.0), ("low", 0, 0, 1, 1, 0.0)]
     got = ocr.text_regions(frames, instances, engine)
