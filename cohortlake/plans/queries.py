@@ -471,14 +471,14 @@ def eav_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.to_eav(model.from_tables(spark, sf_dir).instances)
 
 
-@query("SELECT l_orderkey, l_suppkey, string_agg(l_returnflag || l_linenumber, '\\' ORDER BY l_linenumber) AS value FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey, l_suppkey, string_agg(l_returnflag || l_linenumber, '\\' ORDER BY l_linenumber, l_returnflag) AS value FROM lineitem GROUP BY 1, 2")
 def eav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of several parts go out as atoms and come back in order."""
     from pyspark.sql import Window
 
     atoms = _table(spark, sf_dir, "lineitem").select(
         F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("sop_instance_uid"), F.lit("0011").alias("group_id"), F.lit("1010").alias("element_id"),
-        (F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber")) - 1).alias("atom_index"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("value"),
+        (F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_returnflag")) - 1).alias("atom_index"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("value"),
     )
     back = catalog.from_eav(atoms)
     key = F.split("sop_instance_uid", r"\|")
