@@ -4,7 +4,8 @@ Words are folded first: ASCII letters in lower case, look-alike digits as letter
 signs left out, and letters spaced one by one joined again. Two words are as alike as the
 subsequences of four characters they share; a subsequence that spans s characters weighs
 DECAY ** s and may span at most MAX_SPAN, so gaps and inserted characters cost weight but keep
-the match. The kernel is normalised.
+the match. The kernel is normalised. A run of more than MAX_WORD bytes without white space is as
+like a landmark as the best of its overlapping windows, and its parts between signs count as words too.
 
 Landmark words come from a bounded sample of labelled texts. A sentence's kernel with a landmark
 is that of its best word, its feature vector is that row times K(landmarks) ** -1/2. The machine
@@ -19,7 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,11 @@ SAMPLE_PER_LABEL = 1500
 SAMPLE_BYTES = 1 << 15
 #: A word counts as like no landmark below this kernel value.
 FLOOR = 0.3
+#: Longer words are read in windows: (bytes, step). What has at most bytes - step + 1 lies whole in one.
 MAX_WORD = 40
+WINDOWS = ((12, 4), (MAX_WORD, 10))
+#: Windows whose kernels are worked out at once.
+WINDOW_BATCH = 4096
 #: Words whose kernels a worker keeps before it starts anew.
 KEEP = 300_000
 FOLD = 5
@@ -53,6 +58,8 @@ _DROP = bytes(c for c in range(256) if _FOLD[c] == 0)
 _FOLD = bytes(_FOLD)
 _SENTENCE = re.compile(rb"[.!?]+\s|\n")
 _SPACE = re.compile(rb"\s")
+#: Signs that join the parts of a run.
+_JOINT = re.compile(b"[" + re.escape(bytes(c for c in _DROP if not 0x30 <= c <= 0x39)) + b"]+")
 #: Letters on their own, in a row.
 _SPELLED = re.compile(rb"(?<!\S)[a-zA-Z](?:\s[a-zA-Z]){2,}(?![a-zA-Z0-9])")
 
@@ -63,7 +70,20 @@ _PATTERNS = [(0, *rest) for span in range(LENGTH, MAX_SPAN + 1) for rest in comb
 
 def words_of(sentence: bytes) -> list[bytes]:
     joined = _SPELLED.sub(lambda m: b"".join(m[0].split()), sentence) if _SPELLED.search(sentence) else sentence
-    return joined.translate(_FOLD, _DROP).split()
+    words = joined.translate(_FOLD, _DROP).split()
+    if any(len(w) > MAX_WORD for w in words):
+        for run in joined.split():
+            if len(run.translate(_FOLD, _DROP)) > MAX_WORD and len(parts := _JOINT.split(run)) > 1:
+                words += [w for x in parts if 0 < len(w := x.translate(_FOLD, _DROP)) <= MAX_WORD]
+    return words
+
+
+def windows_of(word: bytes) -> Iterator[bytes]:
+    """Overlapping windows of a framed word; the last of each size ends with the word."""
+    for size, step in WINDOWS:
+        for at in range(0, len(word) - size, step):
+            yield word[at : at + size]
+        yield word[-size:]
 
 
 def sentences_of(text: bytes) -> list[bytes]:
@@ -72,10 +92,13 @@ def sentences_of(text: bytes) -> list[bytes]:
 
 def _subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence code, weight) with repeats summed, for folded words."""
-    framed = [b"^" + w[:MAX_WORD] for w in words]
+    return _framed_subsequences([b"^" + w for w in words])
+
+
+def _framed_subsequences(framed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(w) for w in framed], np.int64)
     codes = _CODE[np.frombuffer(b"".join(framed) + bytes(MAX_SPAN), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(framed)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(owner))
     keys, weights = [], []
     for pattern in _PATTERNS:
@@ -103,8 +126,16 @@ class Kernel:
         self.weights[self.row[code], own] = weight / np.maximum(norm[own], 1e-12)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """(words, landmarks)"""
-        own, code, weight = _subsequences(words)
+        """(words, landmarks); a word over MAX_WORD bytes gets the highest values of its windows."""
+        out = self._framed([b"^" + w if len(w) <= MAX_WORD else b"" for w in words])
+        for i in (i for i, w in enumerate(words) if len(w) > MAX_WORD):
+            windows = windows_of(b"^" + words[i])
+            while some := list(dict.fromkeys(islice(windows, WINDOW_BATCH))):
+                out[i] = np.maximum(out[i], self._framed(some).max(axis=0))
+        return out
+
+    def _framed(self, words: list[bytes]) -> np.ndarray:
+        own, code, weight = _framed_subsequences(words)
         norm = np.sqrt(np.bincount(own, weight * weight, len(words)))
         row = self.row[code]
         met = np.flatnonzero(row >= 0)
@@ -204,7 +235,7 @@ def _landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     for w, _ in other.most_common(8 * LANDMARKS):  # plain words fill up, so that there is always a landmark
         if len(chosen) >= LANDMARKS + 8:
             break
-        if w not in often and len(w) > 3:
+        if w not in often and 3 < len(w) <= MAX_WORD:
             chosen.append(w)
     return chosen or [b"landmark"]
 

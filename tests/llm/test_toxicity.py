@@ -42,6 +42,28 @@ def test_words_are_folded():
     assert tox.words_of("1d10t ÉTÉ".encode()) == [b"idiot", "ÉtÉ".encode()]
 
 
+def test_long_runs_are_read_whole():
+    k = tox.Kernel([b"idiot", b"worthless"])
+    plain = b"table chair window garden river mountain forest kitchen"
+    joined = plain.replace(b" ", b"-")
+    for run in (joined + b"-idiot-", joined + b"/worthless,", b'{"a":"' + joined + b'","b":"idiot"}'):
+        values = k(tox.words_of(run))
+        assert values.max() > 0.99, run
+    assert k(tox.words_of(joined)).max() < tox.FLOOR
+    for bare in (plain.replace(b" ", b"") * 300 + b"worthless" + plain.replace(b" ", b"") * n for n in (0, 1)):
+        assert k([bare])[0, 1] > tox.FLOOR and k([bare.replace(b"worthless", b"")])[0, 1] < tox.FLOOR
+    word = bytes(range(97, 123)) * 40
+    for n in (*range(1, 10), *range(10, 32)):
+        assert all(any(word[at : at + n] in w for w in tox.windows_of(word)) for at in range(0, len(word) - n, 7))
+
+
+def test_insult_behind_the_fortieth_byte_counts():
+    model = tox.fit([(t.encode(), y) for t, y in made()])
+    run = "-".join(["then", "eron", "anre", "inat"] * 5)
+    low, high = tox.Scorer(model).scores([run.encode(), (run + "-idiot").encode()])
+    assert low < 0.5 < high
+
+
 def made(n=400, seed=3):
     r = random.Random(seed)
     syllables = ["th", "er", "on", "an", "re", "in", "at", "en", "or", "es"]
