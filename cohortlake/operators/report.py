@@ -1,12 +1,14 @@
 """Renderers: manifest, compliance report and configuration scaffold.
 
-What they show is aggregated on the executors; the manifest's rows are streamed to its file.
+What they show is aggregated on the executors; rows of the manifest and exceptions of the report
+are streamed to their files.
 """
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +43,31 @@ def write_manifest(cohort: Cohort, path: str, kind: str = "html", project: str =
     return n
 
 
-def compliance_report(cohort: Cohort, log: DataFrame, title: str = "Compliance report") -> str:
-    """Markdown: status, inventory, actions and exceptions, without values of patients."""
+def compliance_lines(cohort: Cohort, log: DataFrame, title: str = "Compliance report") -> Iterator[str]:
+    """Lines of Markdown: status, inventory, actions and all exceptions, without values of patients.
+
+    Exceptions arrive partition by partition.
+    """
     status = inventory.compliance(log).first()
     counts = {r.level: r.n for r in inventory.counts(cohort).collect()}
     actions = inventory.log_summary(log).orderBy(F.desc("n"), "action_type").collect()
-    failed = inventory.log_errors(log).limit(100).collect()
-    lines = [f"# {title}", "", f"**Status: {status.status}**", "", "## 1. Inventory", "", *(f"- {k}: {v}" for k, v in counts.items()), "", "## 2. Actions", "", "| Action | Count |", "|---|---|"]
-    lines += [f"| {r.action_type} | {r.n} |" for r in actions]
-    lines += ["", "## 3. Exceptions", "", f"{status.n_exceptions} in all, {status.n_risks} further risks."]
-    lines += [f"- {r.ts} {r.action_type} {r.entity_uid or ''}" for r in failed]
-    return "\n".join([*lines, "", "## 4. Method", "", "Rules, shifts and pseudonyms are deterministic; see the configuration for the policy in force.", ""])
+    yield from [f"# {title}", "", f"**Status: {status.status}**", "", "## 1. Inventory", "", *(f"- {k}: {v}" for k, v in counts.items()), "", "## 2. Actions", "", "| Action | Count |", "|---|---|"]
+    yield from (f"| {r.action_type} | {r.n} |" for r in actions)
+    yield from ["", "## 3. Exceptions", "", f"{status.n_exceptions} in all, {status.n_risks} further risks."]
+    for r in inventory.log_errors(log).toLocalIterator(prefetchPartitions=True):
+        yield f"- {r.ts} {r.action_type} {r.entity_uid or ''}"
+    yield from ["", "## 4. Method", "", "Rules, shifts and pseudonyms are deterministic; see the configuration for the policy in force."]
+
+
+def compliance_report(cohort: Cohort, log: DataFrame, title: str = "Compliance report") -> str:
+    """The report as one string, which has to fit into the driver; ``write_compliance_report`` streams it."""
+    return "".join(f"{line}\n" for line in compliance_lines(cohort, log, title))
+
+
+def write_compliance_report(cohort: Cohort, log: DataFrame, path: str, title: str = "Compliance report") -> None:
+    """The report as a file on the driver's disk."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{line}\n" for line in compliance_lines(cohort, log, title))
 
 
 #: Tags that a scaffold always lists, and what it does with them.

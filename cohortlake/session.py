@@ -212,8 +212,7 @@ class Session:
         return report.write_manifest(self.cohort, path, kind)
 
     def generate_report(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(report.compliance_report(self.cohort, self.log))
+        report.write_compliance_report(self.cohort, self.log, path)
 
     def compact(self) -> int:
         return self.catalog.compact()

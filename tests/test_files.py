@@ -103,6 +103,19 @@ def test_end_to_end(spark, folder):
     assert s.frames.count() == 3 and zones.risk_rows(s.cohort.instances).count() == 0
 
 
+def test_report_lists_all_exceptions(spark, folder):
+    s = Session(spark, str(folder / "lake"))
+    s.ingest(str(folder / "in"))
+    made = F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 2 == 0, "ERROR").otherwise("WARNING").alias("action_type"), F.concat(F.lit("uid-"), "id").alias("entity_uid"), F.lit("").alias("details")
+    s.catalog.append("log", spark.range(250).select(*made))
+    want = [f"{r.ts} {r.action_type} {r.entity_uid or ''}" for r in s.log.filter("action_type in ('ERROR', 'WARNING')").orderBy("ts", "entity_uid").collect()]
+    s.generate_report(str(folder / "r.md"))
+    text = (folder / "r.md").read_text()
+    got = [x[2:] for x in text.split("## 3. Exceptions")[1].split("## 4.")[0].splitlines() if x.startswith("- ")]
+    assert len(got) >= 250 and got == want and f"{len(got)} in all" in text
+    assert report.compliance_report(s.cohort, s.log) == text
+
+
 def test_ctp_scripts():
     script = '// comment\n{ Manufacturer.containsIgnoreCase("GE") * ManufacturerModelName.equals("LightSpeed") }\n  (0,0,100,100) (10,20,30,40)\n{ Modality.equals("US") } (1,1,2,2)\n{ Manufacturer.contains("X") }\n'
     (rule,) = parse_script(script)
