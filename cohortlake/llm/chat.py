@@ -87,14 +87,22 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text): parse ``formatted`` strings with their masks.
 
-    turns is an array of (role, text), unescaped; loss_text is what the mask selects, unescaped.
+    turns is an array of (role, text), unescaped; loss_text is what lies in ``formatted`` at the
+    places that the mask puts under the loss, unescaped. Where every skip and length of the mask is
+    that of the parsed turns, the places are the same, and the parsed texts stand for the slices.
     """
     pieces = F.expr(rf"slice(split(formatted, '\\Q{START}\\E', -1), 2, size(split(formatted, '\\Q{START}\\E', -1)))")
     parsed = formatted.withColumn("pieces", pieces)
     role = "substring_index(p, '\\n', 1)"
     body = f"substring(p, length({role}) + 2, length(p) - length({role}) - {len(END) + 2})"
-    spoken = F.expr(rf"flatten(transform(pieces, p -> transform(split({body}, '\\Q{SEP}\\E', -1), t -> named_struct('role', {role}, 'text', t))))")
+    lead = f"length(substring_index(formatted, '{START}', 1))"
+    skip = f"if(j > 0, {len(SEP)}, if(i > 0, {len(END) + 1}, {lead}) + {len(START) + 1} + length({role}))"
+    spoken = F.expr(rf"flatten(transform(pieces, (p, i) -> transform(split({body}, '\\Q{SEP}\\E', -1), (t, j) -> named_struct('role', {role}, 'text', t, 'skip', {skip}))))")
     parsed = parsed.withColumn("spoken", spoken)
     turns = F.transform("spoken", lambda x: F.struct(unescape_role(x.role).alias("role"), unescape(x.text).alias("text")))
-    masked = F.expr("filter(zip_with(spoken, mask, (x, m) -> if(m.loss and m.chars = length(x.text), x.text, null)), x -> x is not null)")
+    aligned = F.expr("size(spoken) = size(mask) and forall(zip_with(spoken, mask, (x, m) -> m.skip = x.skip and m.chars = length(x.text)), b -> b)")
+    parsed_texts = F.expr("transform(filter(zip_with(spoken, mask, (x, m) -> named_struct('loss', m.loss, 'text', x.text)), x -> x.loss), x -> x.text)")
+    start = "1 + m.skip + aggregate(slice(mask, 1, i), 0, (a, y) -> a + y.skip + y.chars)"
+    slices = F.expr(f"transform(filter(transform(mask, (m, i) -> named_struct('loss', m.loss, 'text', substring(formatted, {start}, m.chars))), x -> x.loss), x -> x.text)")
+    masked = F.when(aligned, parsed_texts).otherwise(slices)
     return parsed.select("*", turns.alias("turns"), F.array_join(F.transform(masked, unescape), "").alias("loss_text"))

@@ -52,6 +52,19 @@ def test_mask_points_at_the_texts(spark):
     assert texts[:2] == [("a", False), ("b", False)] and [x for _, x in texts[2:]] == [True, True]
 
 
+def test_loss_text_lies_where_the_mask_says(spark):
+    made = chat.chat_format(spark.createDataFrame([(*r, 7) for r in ROWS[:4]], SCHEMA))
+    one = "transform(mask, (m, i) -> if(i = {}, named_struct('skip', m.skip + {}, 'chars', m.chars + {}, 'loss', m.loss), m))"
+    for change in ((0, 0, 0), (0, -1, 0), (2, 2, 0), (1, 0, 3), (2, 0, -2)):
+        (row,) = chat.read_back(made.withColumn("mask", F.expr(one.format(*change)))).collect()
+        at, want = 0, []
+        for m in row.mask:
+            at += m.skip
+            want += [row.formatted[at : at + m.chars].replace("<\\|", "<|").replace("\\\\", "\\")] if m.loss else []
+            at += m.chars
+        assert row.loss_text == "".join(want), change
+
+
 def test_long_conversation_of_many_blocks(spark):
     rows = [(9, i, "user" if i // 3 % 2 else "assistant", f"t{i}") for i in range(1000)]
     row = rebuilt(spark, rows)[9]
