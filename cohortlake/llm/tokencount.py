@@ -1,9 +1,11 @@
-"""Token counts under a unigram segmentation, with forward scores shared in a trie.
+"""Token counts under a unigram segmentation, with forward scores shared along common prefixes.
 
 A text is cut into pre-tokens at white space, each with the word mark in front. Distinct
-pre-tokens are inserted in a trie. A node stands for a prefix and holds the best score of any
-segmentation of it and that segmentation's number of tokens, worked out once from its ancestors;
-words that share a prefix share this work. The count at a word's last node is its terminal count.
+new pre-tokens of a batch are walked in sorted order, which is the order of a trie that isn't
+stored. A prefix has the best score of any segmentation of it and that segmentation's number of
+tokens, worked out from shorter prefixes; neighbours in the walk share this work. A word's count
+is kept as its terminal count; prefix states aren't, so the next batch works them out anew for its
+new words. Words over MAX_SHARED bytes share nothing, and their counts aren't kept.
 
 The vocabulary is a published one, given by its path. It ranks its pieces but has no
 probabilities, so a piece of rank r scores as in Zipf's law, -log(r + 2) - log(log(size)).
