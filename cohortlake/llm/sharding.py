@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
 A record's slot is a hash of its key, one of a fixed number. A versioned map sends slots to
-shards; records never move between slots, so rebalancing edits the map alone. Bytes and rows
-are aggregated per slot, and the map is stored with them.
+shards; records never move between slots, so rebalancing edits the map alone. ``slot_bytes``
+aggregates bytes and rows per slot, and ``SlotMap.save`` stores a map's versions, without bytes.
+``shard`` and ``assign`` do neither: they work out the map anew on each run and don't store it.
 
 The map for n shards is reached from one shard by adding shards one at a time; each new shard
 takes its even part of the slots from the shards that hold most. It depends on n alone, and one
