@@ -19,8 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir, or one below the warehouse if unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The folder the cluster names in spark.checkpoint.dir; below the warehouse on a local master without one.
+
+    A cluster without the setting is refused, as its executors share no folder of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a shared folder")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores behind it as no column of the table has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def wide(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt over all tasks by ``columns``, before a step that makes many rows of one."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ that never list all pairs of a dense group:
 2. For distance three, the fingerprint is cut into two 32-bit segments. One of them differs
    in at most one bit, so the 33 values of the radius-one ball around each segment are looked
    up in the segment tables and complete distances are verified. Probes whose whole bucket
-   already lies in their own component are dropped first: a dense bucket is not paired out.
+   already lies in their own component are dropped first. Buckets of more than CROWD fingerprints
+   are split by the other segment's four bytes: at most three of them differ, so a linked pair
+   meets under an equal byte.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, texts, utf8, word_blocks
+from .common import pin, texts, utf8, wide, word_blocks
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
+#: Fingerprints in a bucket from which on it is split by the other segment; the links are the same.
+CROWD = 64
 
 _BLOCK = 1 << 14
 
@@ -106,7 +110,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _stars(nodes: DataFrame) -> DataFrame:
     """Edges that connect all fingerprints within two bits of each other."""
-    filed = nodes.select("fp", F.explode(_flips("fp", 0, 64)).alias("key"))
+    filed = wide(nodes.select("fp"), "fp").select("fp", F.explode(_flips("fp", 0, 64)).alias("key"))
     near = filed.groupBy("key").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
     return near.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).filter("u <> v").select("u", "v")
 
@@ -116,17 +120,28 @@ def _segment(fp: str, which: int) -> Column:
     return F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF if which == 0 else -0x100000000).cast("long"))
 
 
+def _other_bytes() -> Column:
+    """(place, value) of the four bytes of the segment that isn't the key's."""
+    return F.expr("transform(sequence(0, 3), j -> struct(j as place, shiftright(u, 8 * j + if(s = 0, 32, 0)) & 255 as value))")
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """Edges of three bits between different groups; ``nodes`` has fp and its group so far."""
-    parts = []
+    nodes, parts = wide(nodes.select("fp", "group"), "fp"), []
     for which in (0, 1):
-        own = nodes.select("fp", "group", F.lit(which).alias("s"), _segment("fp", which).alias("key"))
-        parts.append((own, own.select("fp", "group", "s", F.explode(_flips("key", 32 * which, 32 * which + 32)).alias("key"))))
+        own = nodes.select(F.col("fp").alias("u"), F.col("group").alias("gu"), F.lit(which).alias("s"), _segment("fp", which).alias("key"))
+        parts.append((own, own.select("u", "gu", "s", F.explode(_flips("key", 32 * which, 32 * which + 32)).alias("key"))))
     tables = parts[0][0].unionByName(parts[1][0])
     probes = parts[0][1].unionByName(parts[1][1])
-    buckets = tables.groupBy("s", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-    open_ = probes.join(buckets, ["s", "key"]).filter("lo <> group or hi <> group").select("s", "key", F.col("fp").alias("u"), F.col("group").alias("gu"))
-    met = open_.join(tables.select("s", "key", F.col("fp").alias("v"), F.col("group").alias("gv")), ["s", "key"])
+    buckets = tables.groupBy("s", "key").agg(F.min("gu").alias("lo"), F.max("gu").alias("hi"), F.count("*").alias("n"))
+    open_ = pin(probes.join(buckets, ["s", "key"]).filter("lo <> gu or hi <> gu").select("s", "key", "u", "gu", (F.col("n") > CROWD).alias("crowded")))
+    entry = lambda df: df.select("s", "key", F.col("u").alias("v"), F.col("gu").alias("gv"))
+    plain = open_.filter("not crowded").join(entry(tables), ["s", "key"]).select("u", "gu", "v", "gv")
+    crowds = buckets.filter((F.col("n") > CROWD) & (F.col("lo") != F.col("hi"))).select("s", "key")
+    split = lambda df: df.withColumn("b", F.explode(_other_bytes())).withColumns({"place": F.col("b.place"), "value": F.col("b.value")})
+    held = split(tables.join(crowds, ["s", "key"], "left_semi")).select("s", "key", "place", "value", F.col("u").alias("v"), F.col("gu").alias("gv"))
+    parted = split(open_.filter("crowded")).join(held, ["s", "key", "place", "value"]).select("u", "gu", "v", "gv")
+    met = plain.unionByName(parted)
     return met.filter((F.col("gu") != F.col("gv")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)).select(F.col("gu").alias("u"), F.col("gv").alias("v"))
 
 
