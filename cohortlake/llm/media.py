@@ -169,9 +169,12 @@ class Image:
     tables: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = field(default_factory=dict)
     #: component id -> (horizontal, vertical sampling, quantisation table)
     parts: dict[int, tuple[int, int, int]] = field(default_factory=dict)
-    #: of the scan: (component id, DC table, AC table)
+    #: of the scan with the first component, the luminance: (component id, DC table, AC table)
     scan: list[tuple[int, int, int]] = field(default_factory=list)
     data: bytes = b""
+    #: Tables and restart interval as they were at that scan.
+    scan_tables: dict[int, tuple[tuple[int, ...], tuple[int, ...]]] = field(default_factory=dict)
+    scan_restart: int = 0
 
 
 def parse(stream: bytes) -> list[Image]:
@@ -208,11 +211,16 @@ def parse(stream: bytes) -> list[Image]:
             elif 0xC1 <= kind <= 0xCF and kind not in (0xC8, 0xCC):
                 raise ValueError(f"marker {kind:02x}: only baseline files are read")
             elif kind == 0xDA:
-                image.scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+                scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
                 stop = _AFTER_SCAN.search(stream, at)
                 if stop is None:
                     raise ValueError("the scan has no end")
-                image.data, at = stream[at : stop.start()], stop.start()
+                if image.parts and scan and scan[0][0] == next(iter(image.parts)):  # other components' scans are passed over
+                    image.scan, image.data = scan, stream[at : stop.start()]
+                    image.scan_tables, image.scan_restart = dict(image.tables), image.restart
+                at = stop.start()
+        if not image.scan or not image.width or not image.height:
+            raise ValueError("an image without a luminance scan")
         at += 2
         out.append(image)
     return out
@@ -233,21 +241,25 @@ def _segments(images: list[Image]) -> tuple[np.ndarray, np.ndarray]:
 
 def _decode_alike(images: list[Image]) -> list[np.ndarray]:
     """The luminance thumbnails of images that share tables, components and restart interval."""
-    one = images[0]
+    one, restart = images[0], images[0].scan_restart
     parts = [(i, *one.parts[c][:2], dc, ac) for i, (c, dc, ac) in enumerate(one.scan)]
+    tallest, widest = max(v for _, v, _ in one.parts.values()), max(h for h, _, _ in one.parts.values())
+    # the luminance's own size in samples; alone in its scan, it is coded block by block
+    broad = [(-(-x.width * parts[0][1] // widest), -(-x.height * parts[0][2] // tallest)) for x in images]
     if len(parts) == 1:
         parts = [(0, 1, 1, *parts[0][3:])]
+        grids = [(-(-w // 8), -(-h // 8)) for w, h in broad]
+    else:
+        grids = [(-(-x.width // (8 * widest)), -(-x.height // (8 * tallest))) for x in images]
     order = [(i, dc, ac) for i, h, v, dc, ac in parts for _ in range(h * v)]
-    tallest, widest = max(v for _, _, v, _, _ in parts), max(h for _, h, _, _, _ in parts)
-    grids = [(-(-x.width // (8 * widest)), -(-x.height // (8 * tallest))) for x in images]
     units = [a * b for a, b in grids]
-    sizes = np.array([min(one.restart, n - at) if one.restart else n for n in units for at in range(0, n, one.restart or n)])
+    sizes = np.array([min(restart, n - at) if restart else n for n in units for at in range(0, n, restart or n)])
     data, at = _segments(images)
     if len(at) != len(sizes):
         raise ValueError("restart segments are missing")
     padded = np.concatenate([data, np.full(8, 255, np.uint8)]).astype(np.int64)
     window = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
-    lookups = {k: _lookup(*t) for k, t in one.tables.items()}
+    lookups = {k: _lookup(*t) for k, t in one.scan_tables.items()}
     bit = at.astype(np.int64) * 8
     limit = 8 * len(data)
 
@@ -280,14 +292,13 @@ def _decode_alike(images: list[Image]) -> list[np.ndarray]:
     _, h, v, _, _ = parts[0]
     dc = np.cumsum(diffs[0].reshape(len(sizes), -1), axis=1).reshape(diffs[0].shape)
     out, seg = [], 0
-    for image, (across, down), n in zip(images, grids, units, strict=True):
-        count = -(-n // one.restart) if one.restart else 1
+    for image, (across, down), n, (wide, high) in zip(images, grids, units, broad, strict=True):
+        count = -(-n // restart) if restart else 1
         blocks = dc[seg : seg + count].reshape(-1, h * v)[:n] if sizes[seg] == sizes[:].max() else np.concatenate([dc[s, : sizes[s]] for s in range(seg, seg + count)])
         seg += count
         grid = blocks.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
         quant = image.quant[image.parts[image.scan[0][0]][2]]
-        high, broad = (-(-image.height // 8), -(-image.width // 8)) if len(one.scan) == 1 else (-(-image.height * v // (8 * tallest)), -(-image.width * h // (8 * widest)))
-        out.append(np.clip((grid[:high, :broad] * quant + 4) // 8 + 128, 0, 255).astype(np.uint8))
+        out.append(np.clip((grid[: -(-high // 8), : -(-wide // 8)] * quant + 4) // 8 + 128, 0, 255).astype(np.uint8))
     return out
 
 
@@ -295,7 +306,7 @@ def thumbnails(images: list[Image]) -> list[np.ndarray]:
     """The DC-only luminance thumbnail of each image, at one eighth of its size."""
     alike: dict[tuple, list[int]] = defaultdict(list)
     for i, x in enumerate(images):
-        alike[repr((x.tables, x.scan, x.parts, x.restart)),].append(i)
+        alike[repr((x.scan_tables, x.scan, x.parts, x.scan_restart)),].append(i)
     out: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(images)
     for same in alike.values():
         batch, held = [], 0
@@ -324,21 +335,49 @@ def thumb_hash(thumb: np.ndarray) -> str:
     return np.packbits(cells.ravel() * 64 > cells.sum()).tobytes().hex()
 
 
-_READ = "struct<payload: binary, n_bytes: bigint, feature: string>"
+_READ = "struct<payload: binary, n_bytes: bigint, feature: string, error: string>"
+#: What a damaged or foreign file raises while it is read.
+_BAD = (ValueError, IndexError, KeyError, struct.error)
+
+
+def _read(images: list[Image], thumbs: list[np.ndarray]) -> dict:
+    """The features of one stream; the true length is null where a file of another make has none."""
+    length = int(images[0].comment) if images[0].comment.isdigit() else None
+    return {"payload": b"".join(t.tobytes() for t in thumbs), "n_bytes": length, "feature": "+".join(f"{x.width}x{x.height}:{thumb_hash(t)}" for x, t in zip(images, thumbs, strict=True)), "error": None}
+
+
+def read_streams(streams: list[bytes | None]) -> list[dict]:
+    """Features of each stream, or nulls and an error; good streams are decoded together."""
+    out: list[dict | None] = [None] * len(streams)
+    good: dict[int, list[Image]] = {}
+    for i, data in enumerate(streams):
+        try:
+            if not data:
+                raise ValueError("no media")
+            good[i] = parse(data)
+        except _BAD as e:
+            out[i] = _failed(e)
+    try:
+        thumbs = iter(thumbnails([image for images in good.values() for image in images]))
+        for i, images in good.items():
+            out[i] = _read(images, [next(thumbs) for _ in images])
+    except _BAD:  # one of them is damaged: each is decoded on its own
+        for i, images in good.items():
+            try:
+                out[i] = _read(images, thumbnails(images))
+            except _BAD as e:
+                out[i] = _failed(e)
+    return out
+
+
+def _failed(e: Exception) -> dict:
+    return {"payload": None, "n_bytes": None, "feature": None, "error": f"{type(e).__name__}: {e}"}
 
 
 def _decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("payload", pa.binary()), ("n_bytes", pa.int64()), ("feature", pa.string()), ("error", pa.string())])
     for batch in batches:
-        payloads, lengths, features = [], [], []
-        for part in texts(batch):
-            streams = [parse(x) for x in part]
-            thumbs = iter(thumbnails([image for images in streams for image in images]))
-            for images in streams:
-                own = [next(thumbs) for _ in images]
-                payloads.append(b"".join(t.tobytes() for t in own))
-                lengths.append(int(images[0].comment))
-                features.append("+".join(f"{x.width}x{x.height}:{thumb_hash(t)}" for x, t in zip(images, own, strict=True)))
-        yield pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(lengths, pa.int64()), pa.array(features, pa.string())], ["payload", "n_bytes", "feature"])
+        yield pa.array([row for part in texts(batch) for row in read_streams(part)], kind)
 
 
 def _encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -347,12 +386,16 @@ def _encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def media(text: str | Column) -> Column:
-    """The stored form of a text: a JPEG stream. Null counts as empty."""
+    """The stored form of a text: a JPEG stream. Null counts as empty; equal texts have equal streams."""
     return F.arrow_udf(_encode_batches, "binary").asNondeterministic()(utf8(text))
 
 
 def read_media(column: str | Column) -> Column:
-    """(payload, n_bytes, feature) read from a stored stream."""
+    """(payload, n_bytes, feature, error) read from a stored stream.
+
+    A null, empty, truncated or foreign value gives nulls and an error, and the rows beside it stay as
+    they are. A file of another make has no true length, so n_bytes is null there.
+    """
     return F.arrow_udf(_decode_batches, _READ).asNondeterministic()(column)
 
 
