@@ -63,21 +63,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Written out here, so that the operator's own patterns are held against them.
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[""'']?\x20*[:=]\x20*[""'']?([A-Za-z0-9+/_.=-]+)""".replace('""', '"')
+
+
 def _op3_sql() -> str:
     def kind(rank: int, pattern: str, group: int, least: int) -> str:
-        quoted = pattern.replace("'", "''")
-        return f"""SELECT rid, {rank} AS rank, string_split_regex(text, '{quoted}') AS ps, regexp_extract_all(text, '{quoted}', 0) AS ws, regexp_extract_all(text, '{quoted}', {group}) AS vs, {least} AS least FROM d"""
+        return f"""SELECT rid, {rank} AS rank, string_split_regex(text, '{pattern}') AS ps, regexp_extract_all(text, '{pattern}', 0) AS ws, regexp_extract_all(text, '{pattern}', {group}) AS vs, {least} AS least FROM d"""
 
-    kinds = " UNION ALL ".join((kind(0, secretscan.ASSIGN, 2, 8), kind(1, secretscan.ACCESS, 0, 16), kind(2, secretscan.HEX, 0, 32)))
+    kinds = " UNION ALL ".join((kind(0, _ASSIGN, 2, 8), kind(1, "AKIA[A-Z0-9]+", 0, 16), kind(2, "[0-9a-f]+", 0, 32)))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
 k AS ({kinds}),
 u AS (SELECT rid, rank, least, unnest(range(1, len(ws) + 1)) AS i, ps, ws, vs FROM k WHERE len(ws) > 0),
 v AS (SELECT rid, rank, least, i, length(ps[i]) AS pl, length(ws[i]) AS wl, vs[i] AS value FROM u),
 m AS (SELECT rid, rank, value, least, sum(pl + wl) OVER (PARTITION BY rid, rank ORDER BY i) AS stop, wl FROM v),
 b AS (SELECT rid, rank, CAST(stop - wl AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, value FROM m WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM b JOIN d USING (rid) GROUP BY value),
-j AS (SELECT b.*, CASE WHEN owners >= 3 THEN 3 WHEN owners = 1 AND len(list_distinct(string_split(b.value, ''))) >= 8 AND regexp_matches(b.value, '[0-9]') AND regexp_matches(b.value, '[A-Za-z]') THEN 4 END AS verdict FROM b JOIN o ON b.value = o.value),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos, bool_or(owner IS NULL) AS unknown FROM b JOIN d USING (rid) GROUP BY value),
+j AS (SELECT b.*, CASE WHEN owners >= 3 OR repos >= 8 THEN 3 WHEN owners = 1 AND NOT unknown AND len(list_distinct(string_split(b.value, ''))) >= 8 AND regexp_matches(b.value, '[0-9]') AND regexp_matches(b.value, '[A-Za-z]') THEN 4 END AS verdict FROM b JOIN o ON b.value = o.value),
 a AS (SELECT rid, rank, start, stop FROM j UNION ALL SELECT rid, verdict, stop - length(value), stop FROM j WHERE verdict IS NOT NULL),
 n AS (SELECT rid, rank, start, stop, ['assign', 'access', 'hex', 'copied', 'live'][rank + 1] || ':' || start || ':' || stop AS s FROM a),
 g AS (SELECT rid, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
