@@ -60,6 +60,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, n: str, out: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, with 0, 1, ... in ``out``; big numbers go in steps, so no long array is made."""
+    step = 1 << 14
+    stepped = df.withColumn(out, F.explode(F.expr(f"sequence(0L, {n} - 1, {step}L)")))
+    return stepped.withColumn(out, F.explode(F.expr(f"sequence({out}, least({out} + {step - 1}, {n} - 1))")))
+
+
 def utf8(text: str | Column) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text

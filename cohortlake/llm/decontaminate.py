@@ -1,78 +1,190 @@
-"""Benchmark decontamination by a prefix-filtered join of word windows.
+"""Benchmark decontamination by a prefix-filtered set join of word shingles.
 
-A window is a run of consecutive words of a benchmark item. Its words are ordered by rarity
-over all windows; as a window has to be contained whole, its prefix is its single rarest word.
-Documents are probed with their words against the prefix words only. At each place where one
-occurs, the windows filed under it are tried: the place and the window's length must fit into
-the document (positional and length bounds), then the window is compared word by word.
+A window is a run of consecutive words of a benchmark item. Its tokens are its shingles of three
+words (a window of fewer words is one shingle). Tokens are ordered by rarity, the number of their
+places in all items; as a window has to be contained whole, its necessary prefix is its single rarest
+shingle. Windows are filed under the hash of that token, with the token's place in the window.
 
-The windows are sent to the executors in blocks of a checked size. Each block is one pass over
-the documents without a shuffle, and the next pass adds to what the last one found, so a
-benchmark of any size is handled the same way.
+Documents are probed by the hashes of their shingles. A bitmap of the prefix tokens' hashes, of a
+bounded size, tells in one pass which places can meet at all; only these travel, each with the words
+around it, and are joined with the windows by token. Positional and length bounds decide whether the
+window fits there, then it is compared word by word. So neither a task nor the driver holds the
+benchmark: items, tokens and windows are tables, and the join's side is chosen by its measured size.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, utf8, word_blocks
+from .common import pin, texts, utf8, word_blocks
 
 WINDOW = 13
+SHINGLE = 3
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
-#: Bytes of benchmark text that one pass sends to the executors.
-BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap: so many per token, at least and at most 2 ** these. A full bitmap lets more places travel.
+BITS_PER_TOKEN = 64
+BITMAP = (16, 28)
+#: Words whose hashes a worker keeps before it starts anew.
+KEEP = 500_000
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
-
-FOUND = "struct<n_words: bigint, starts: array<bigint>, ends: array<bigint>, items: array<string>>"
-_ARROW = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_SEED = 7
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-class Windows:
-    """The windows of some benchmark items, filed under their rarest word."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.longest = window
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[at : at + window])].add(item)
-        often = Counter(word for words in owners for word in set(words))
-        self.by_word: dict[bytes, list[tuple[int, list[bytes], tuple[str, ...]]]] = defaultdict(list)
-        for words, names in owners.items():
-            at = min(range(len(words)), key=lambda i: (often[words[i]], -len(words[i]), words[i], i))
-            self.by_word[words[at]].append((at, list(words), tuple(sorted(names))))
-        self.prefixes = frozenset(self.by_word)
-
-    def search(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """The number of words, the hit ranges as merged (start, end) and the items that occur."""
-        n, base, carry, hits, items = 0, 0, [], [], set()
-        for block in word_blocks(text.translate(_LOWER)):
-            n += len(block)
-            words = carry + block
-            if not self.prefixes.isdisjoint(words):
-                for p, word in enumerate(words):
-                    for at, window, names in self.by_word.get(word, ()) if word in self.prefixes else ():
-                        start = p - at
-                        if start >= 0 and start + len(window) <= len(words) and words[start : start + len(window)] == window:
-                            hits.append((base + start, base + start + len(window)))
-                            items.update(names)
-            keep = min(len(words), self.longest - 1)
-            base += len(words) - keep
-            carry = words[len(words) - keep :]
-        return n, merged(hits), items
+class Hashes:
+    """Hashes of words, kept for the words seen, and of shingles from those."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > KEEP:
+            known.clear()
+        new = {w for w in words if w not in known}
+        known.update((w, xxhash.xxh64_intdigest(w, _SEED)) for w in new)
+        return np.fromiter((known[w] for w in words), np.uint64, len(words))
+
+    @staticmethod
+    def shingles(hashed: np.ndarray, length: int) -> np.ndarray:
+        """One hash for each run of ``length`` words."""
+        n = max(0, len(hashed) - length + 1)
+        out = np.full(n, length, np.uint64)
+        for i in range(length):
+            out = (out ^ hashed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+
+# -- the benchmark's side -------------------------------------------------------------------------
+
+_TOKENS = "item_row long, place int, token long"
+_WINDOWS = "token long, place int, n int, words string, item string"
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for batch in batches:
+        for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = words_of(data.as_py())
+            tokens = hashes.shingles(hashes.words(words), min(SHINGLE, len(words))) if words else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), row)), pa.array(np.arange(len(tokens)), pa.int32()), pa.array(tokens.view(np.int64))], ["item_row", "place", "token"])
+
+
+def _rarest(often: np.ndarray, tokens: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the rarest token in each run of ``reach`` tokens; ties go to the smaller hash, then the first."""
+    order = np.empty(len(tokens), np.int64)
+    order[np.lexsort((np.arange(len(tokens)), tokens, often))] = np.arange(len(tokens))
+    runs = len(tokens) - reach + 1
+    best = np.arange(runs)
+    for i in range(1, reach):
+        best = np.where(order[i : i + runs] < order[best], np.arange(i, i + runs), best)
+    return best
+
+
+def _window_batches(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data, tokens, often in zip(*(batch.column(i) for i in range(4)), strict=True):
+                words = [w.decode() for w in words_of(data.as_py())]
+                tokens, often = np.array(tokens.as_py(), np.int64), np.array(often.as_py(), np.int64)
+                n = min(window, len(words))
+                best = _rarest(often, tokens.view(np.uint64), n - min(SHINGLE, len(words)) + 1)
+                for at in range(0, len(best), 4096):
+                    part = best[at : at + 4096]
+                    joined = [" ".join(words[i : i + n]) for i in range(at, at + len(part))]
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), pa.array(part - np.arange(at, at + len(part)), pa.int32()), pa.array(np.full(len(part), n), pa.int32()), pa.array(joined), pa.array([item.as_py()] * len(part), pa.string())], ["token", "place", "n", "words", "item"])
+
+    return run
+
+
+def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(token, place, n, words, item): every window of every item, filed under its rarest shingle.
+
+    Items that share an id count once; a null id counts as the empty string; wordless items have no
+    window. Equal windows are filed alike, whichever item they are from.
+    """
+    items = pin(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), utf8(text_col).alias("text")).withColumn("item_row", F.monotonically_increasing_id()))
+    tokens = pin(items.select("item_row", "text").mapInArrow(_token_batches, _TOKENS))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    placed = tokens.join(often, "token").groupBy("item_row").agg(F.sort_array(F.collect_list(F.struct("place", "token", "often"))).alias("t"))
+    whole = items.join(placed, "item_row").select("item", "text", F.col("t.token").alias("tokens"), F.col("t.often").alias("often"))
+    return whole.mapInArrow(_window_batches(window), _WINDOWS).distinct()
+
+
+def prefix_bitmap(filed: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) of the first bits of all tokens; the driver gets blocks of 4 KB, at most 2 ** BITMAP[1] bits."""
+    n = filed.agg(F.count_distinct("token")).first()[0]
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) * BITS_PER_TOKEN)), *BITMAP))
+    place = F.expr(f"shiftrightunsigned(token, {64 - bits})")
+    blocks = filed.groupBy(F.shiftright(place, 15).alias("block")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+    out = np.zeros(max(1 << (bits - 3), 1 << 12), np.uint8)
+    for r in blocks.toLocalIterator():
+        out[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits, out
+
+
+# -- the documents' side --------------------------------------------------------------------------
+_PLACES = "struct<n_words: bigint, places: array<struct<token: bigint, pos: bigint, lead: int, around: string>>>"
+_PLACES_ARROW = pa.struct([("n_words", pa.int64()), ("places", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64()), ("lead", pa.int32()), ("around", pa.string())])))])
+
+
+class Probe:
+    """Finds the places of a text whose shingle may be a window's prefix."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray, lengths: list[int], window: int):
+        self.bits, self.bitmap, self.lengths, self.window = bits, bitmap, lengths, window
+        self.hashes = Hashes()
+
+    def __call__(self, text: bytes) -> dict:
+        """n_words, and (token, pos, lead, around): the words from ``lead`` before the place to a window behind it."""
+        words, base, done, places = [], 0, 0, []
+        blocks = word_blocks(text.translate(_LOWER))
+        block = next(blocks, None)
+        while block is not None:
+            after = next(blocks, None)
+            words += block
+            limit = len(words) if after is None else max(done - base, len(words) - self.window + 1)
+            self._look(words, base, done - base, limit, places)
+            done, drop, block = base + limit, max(0, limit - self.window), after
+            if block is not None:
+                words, base = words[drop:], base + drop
+        return {"n_words": base + len(words), "places": places}
+
+    def _look(self, words: list[bytes], base: int, first: int, limit: int, places: list[dict]) -> None:
+        hashed = self.hashes.words(words)
+        for length in self.lengths:
+            tokens = Hashes.shingles(hashed, length)[first:limit]
+            at = (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
+            for i in np.flatnonzero(self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                p = first + i
+                lead = min(p, self.window - 1)
+                places.append({"token": int(tokens[i].view(np.int64)), "pos": base + p, "lead": lead, "around": b" ".join(words[p - lead : p + self.window]).decode()})
+
+
+def _probe_batches(shared):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        probe = Probe(*shared.value)
+        for batch in batches:
+            yield pa.array([probe(x) for part in texts(batch) for x in part], _PLACES_ARROW)
+
+    return run
+
+
+def digest(text: str) -> Column:
+    """What names a text: its SHA-256. Null counts as empty."""
+    return F.unhex(F.sha2(utf8(text), 256))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,53 +197,67 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(shared, text: Column, before: Column | None) -> Column:
-    """One pass over the documents with the windows of a broadcast block."""
+_RANGES = "struct<starts: array<bigint>, ends: array<bigint>>"
 
-    def found(batch: pa.Array, was: list[dict | None]) -> pa.Array:
-        windows, out = shared.value, []
-        old = iter(was)
-        for part in texts(batch):
-            for data in part:
-                n, hits, items = windows.search(data)
-                if last := next(old):
-                    hits = merged([*hits, *zip(last["starts"], last["ends"], strict=True)])
-                    items |= set(last["items"])
-                out.append({"n_words": n, "starts": [x for x, _ in hits], "ends": [x for _, x in hits], "items": sorted(items)})
-        return pa.array(out, _ARROW)
 
-    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield found(batch, [None] * len(batch))
+def _merge_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    for batch in batches:
+        rows = [merged([(x["start"], x["end"]) for x in ranges]) for ranges in batch.to_pylist()]
+        yield pa.array([{"starts": [a for a, _ in r], "ends": [b for _, b in r]} for r in rows], kind)
+
 
-    def later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch, was in batches:
-            yield found(batch, was.to_pylist())
+def _probed(docs: DataFrame, filed: DataFrame, window: int, text_col: str) -> DataFrame:
+    """The columns of ``docs`` but the text, and (digest, n_words, places), pinned."""
+    bits, bitmap = prefix_bitmap(filed)
+    lengths = sorted(r.n for r in filed.select(F.least("n", F.lit(SHINGLE)).alias("n")).distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast((bits, bitmap, lengths, window))
+    probe = F.arrow_udf(_probe_batches(shared), _PLACES).asNondeterministic()
+    return pin(docs.select(*(c for c in docs.columns if c != text_col), digest(text_col).alias("digest"), probe(utf8(text_col)).alias("p")).select("*", "p.*").drop("p"))
 
-    if before is None:
-        return F.arrow_udf(first, FOUND).asNondeterministic()(text)
-    return F.arrow_udf(later, FOUND).asNondeterministic()(text, before)
+
+def _hits(probed: DataFrame, filed: DataFrame) -> DataFrame:
+    """(digest, starts, ends, items): one row per distinct text in which a window occurs."""
+    places = probed.select("digest", F.explode("places").alias("c")).select("digest", "c.*").distinct()
+    own = filed.select("token", "place", "n", "words").distinct()
+    around, first = F.split("around", " "), F.col("lead") - F.col("place")
+    fits = (first >= 0) & (F.size(around) - first >= F.col("n"))
+    same = F.array_join(F.slice(around, F.greatest(first, F.lit(0)) + 1, F.col("n")), " ") == F.col("words")
+    met = places.join(own, "token").filter(fits & same)
+    hits = pin(met.select("digest", (F.col("pos") - F.col("place")).alias("start"), "n", "words"))
+    ranges = hits.groupBy("digest").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("ranges"))
+    merge = F.arrow_udf(_merge_batches, _RANGES).asNondeterministic()
+    names = hits.select("digest", "words").distinct().join(filed.select("words", "item").distinct(), "words").select("digest", "item").distinct()
+    items = names.groupBy("digest").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return ranges.select("digest", merge("ranges").alias("r")).join(items, "digest").select("digest", "r.starts", "r.ends", "items")
+
+
+def found_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(digest, found): a row per distinct text with a hit; found is (n_words, starts, ends, items).
+
+    starts and ends are the merged hit ranges in words. Null and wordless texts have no hit.
+    """
+    filed = pin(windows(benchmark, item_col, item_text_col, window))
+    probed = _probed(docs.select(text_col), filed, window, text_col)
+    sizes = probed.filter(F.size("places") > 0).groupBy("digest").agg(F.max("n_words").alias("n_words"))
+    return sizes.join(_hits(probed, filed), "digest").select("digest", F.struct("n_words", "starts", "ends", "items").alias("found"))
 
 
-def search(docs: DataFrame, benchmark: DataFrame, out: str = "found", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a column ``out``: struct of n_words, starts, ends (hit ranges in words) and items.
+def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The columns of ``docs`` but the text, and found: n_words, starts, ends (hit ranges in words) and items.
 
-    Null and wordless texts have no words and no hits; wordless items have no window. An item
-    shorter than the window is one window. Items that share an id count once; a null id counts
-    as the empty string. Rows and other columns of ``docs`` stay as they are; a column that is
-    already named ``out`` is replaced. Without items, nothing is hit.
+    One row per row of ``docs``. Null and wordless texts have no words and no hits; wordless items
+    have no window. An item shorter than the window is one window. Items that share an id count once;
+    a null id counts as the empty string. Equal texts are searched together and have equal results.
+    Other columns must not be named digest, n_words, places, starts, ends, items or found. Without
+    items, nothing is hit; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), utf8(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    column = None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Windows([(r.item, bytes(r.text)) for r in rows], window))
-        docs = docs.withColumn(out, _pass(shared, utf8(text_col), column))
-        column = F.col(out)
-    return docs
+    filed = pin(windows(benchmark, item_col, item_text_col, window))
+    probed = _probed(docs, filed, window, text_col)
+    none, nobody = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    found = F.struct("n_words", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", nobody).alias("items"))
+    kept = [c for c in docs.columns if c != text_col]
+    return probed.drop("places").join(_hits(probed, filed), "digest", "left").select(*kept, found.alias("found"))
 
 
 def n_hit(found: str = "found") -> Column:
