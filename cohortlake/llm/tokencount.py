@@ -1,11 +1,11 @@
 """Token counts under a unigram segmentation, with forward scores shared along common prefixes.
 
 A text is cut into pre-tokens at white space, each with the word mark in front. Distinct
-new pre-tokens of a batch are walked in sorted order, which is the order of a trie that isn't
-stored. A prefix has the best score of any segmentation of it and that segmentation's number of
-tokens, worked out from shorter prefixes; neighbours in the walk share this work. A word's count
-is kept as its terminal count; prefix states aren't, so the next batch works them out anew for its
-new words. Words over MAX_SHARED bytes share nothing, and their counts aren't kept.
+pre-tokens are inserted in a trie. A node holds the best score of any segmentation of its prefix
+and that segmentation's number of tokens, worked out once from the nodes above it, whichever batch
+brings the prefix first; the last node's number is the word's terminal count. The trie lives as long
+as its worker and starts anew beyond NODES nodes or KEEP words; that costs time only. Words over
+MAX_SHARED bytes are segmented alone, so that one word can't fill the trie.
 
 The vocabulary is a published one, given by its path. It ranks its pieces but has no
 probabilities, so a piece of rank r scores as in Zipf's law, -log(r + 2) - log(log(size)).
@@ -26,17 +26,16 @@ from .common import texts, utf8, word_blocks
 MARK = "▁"
 #: A character outside the vocabulary scores so much below the worst piece and counts its bytes.
 UNKNOWN_PENALTY = 10.0
-#: Terminal counts that a worker keeps before it starts anew, and words that it looks up together.
+#: Nodes and terminal counts that a worker keeps before it starts anew, and words that it looks up together.
+NODES = 600_000
 KEEP = 600_000
 TOGETHER = 400_000
 #: Words of more bytes are segmented alone and not kept.
 MAX_SHARED = 256
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+#: The vocabulary file where none is given: a SentencePiece model on the driver's disk.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -62,19 +61,25 @@ def _backwards(scores: dict[str, float]) -> dict:
 
 
 class Trie:
-    """Counts tokens of words; the trie of a batch of new words is walked in sorted order.
+    """Forward scores of word prefixes by node, and the terminal counts of words.
 
-    In that order, words with a common prefix follow each other, so the stacks of best scores and
-    token counts along the current path hold each node once; moving on keeps what the next word
-    shares with the last one.
+    A node is a number; an edge leads from a node and a character to a node.
     """
 
     def __init__(self, scores: dict[str, float]):
         self.pieces = _backwards(scores)
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+        self._clear()
+
+    def _clear(self) -> None:
+        self.edges: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
         self.terminal: dict[bytes, int] = {}
-        self.nodes = 0
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best) - 1
 
     def _last(self, word: str, end: int, base: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Best score and fewest tokens of word[:end]; best[i] and tokens[i] are of word[: base + i]."""
@@ -109,24 +114,26 @@ class Trie:
 
     def learn(self, words: set[bytes]) -> None:
         """Insert the words that are new and store their terminal counts."""
-        known = self.terminal
-        new = sorted((MARK + w.decode(), w) for w in words if w not in known and len(w) <= MAX_SHARED)
-        if len(known) + len(new) > KEEP:
-            known.clear()
-            new = sorted((MARK + w.decode(), w) for w in words if len(w) <= MAX_SHARED)
-        last, best, tokens = "", [0.0], [0]
-        for text, word in new:
-            shared, most = 0, min(len(last), len(text))
-            while shared < most and last[shared] == text[shared]:
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
+        if len(self.terminal) + len(words) > KEEP or self.nodes > NODES:
+            self._clear()
+        for word in words:
+            if len(word) <= MAX_SHARED and word not in self.terminal:
+                self.terminal[word] = self._insert(MARK + word.decode())
+
+    def _insert(self, text: str) -> int:
+        edges, node, best, tokens = self.edges, 0, [0.0], [0]
+        for end, char in enumerate(text, 1):
+            edge = node << 21 | ord(char)
+            below = edges.get(edge)
+            if below is None:
                 b, t = self._last(text, end, 0, best, tokens)
-                best.append(b)
-                tokens.append(t)
-            self.nodes += len(text) - shared
-            known[word] = tokens[-1]
-            last = text
+                below = edges[edge] = len(self.best)
+                self.best.append(b)
+                self.tokens.append(t)
+            node = below
+            best.append(self.best[node])
+            tokens.append(self.tokens[node])
+        return tokens[-1]
 
     def count(self, words: list[bytes]) -> int:
         """The number of tokens of a list of pre-tokens that were learnt, or are long."""
@@ -166,9 +173,9 @@ def _counts(shared):
 def token_counts(docs: DataFrame, text: str | Column = "text", vocabulary: str | None = None, out: str = "tokens") -> DataFrame:
     """``docs`` with a column ``out`` of (n_words, n_tokens), without a shuffle.
 
-    Null, empty and blank texts have no words and no tokens. Rows and other columns stay; a column
+    Null, empty and blank texts have no words and no tokens; equal texts have equal counts. Rows and other columns stay; a column
     already named ``out`` is replaced. The vocabulary file bounds what is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(piece_scores(vocabulary or default_vocabulary()))
+    shared = docs.sparkSession.sparkContext.broadcast(piece_scores(vocabulary or VOCABULARY))
     run = _counts(shared)
     return docs.withColumn(out, F.arrow_udf(run, "struct<n_words: bigint, n_tokens: bigint>").asNondeterministic()(utf8(text)))

@@ -7,7 +7,7 @@ from cohortlake.llm import tokencount
 
 @pytest.fixture(scope="module")
 def scores():
-    return tokencount.piece_scores(tokencount.default_vocabulary())
+    return tokencount.piece_scores(tokencount.VOCABULARY)
 
 
 def reference(scores):
@@ -40,6 +40,27 @@ def test_prefixes_are_shared(scores):
     trie = tokencount.Trie(scores)
     trie.learn({b"abcdef", b"abcdeg", b"abcdegh", b"abcde"})
     assert trie.nodes == len(tokencount.MARK + "abcdef") + 2
+    trie.learn({b"abcdefgh"})
+    assert trie.nodes == len(tokencount.MARK + "abcdef") + 4  # a later batch goes on from the stored prefix
+
+
+def test_a_full_trie_starts_anew(scores, monkeypatch):
+    words = [f"w{i}x{i % 7}".encode() for i in range(400)]
+    whole = counted(tokencount.Trie(scores), *words)
+    monkeypatch.setattr(tokencount, "NODES", 50)
+    trie = tokencount.Trie(scores)
+    assert sum(counted(trie, w) for w in words) == whole and trie.nodes < 100
+
+
+def test_query_against_a_full_unigram_search(spark, scores, tmp_path):
+    from cohortlake.llm import queries
+
+    texts = ["The cat sat.  On the mat", None, "", "ÜBER naïve 日本 x" * 3, "a" * 700 + " b", "The cat sat.  On the mat"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    other = reference(scores)
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in queries.op2_tokens(spark, str(tmp_path)).collect()}
+    words = {i: (t or "").split() for i, t in enumerate(texts)}
+    assert got == {i: (len(ws), sum(len(other.encode(tokencount.MARK + w).tokens) for w in ws)) for i, ws in words.items()}
 
 
 def test_table(spark, scores):
