@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pin
+from .common import WORD, numbered, pin
 
 #: A target stops at so many times its source's size.
 MAX_EPOCHS = 3
@@ -27,13 +27,13 @@ def n_words(text: str) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """(id, source, size, key): size in words (null text: 0), key a hash of seed, id and size."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    return sized.withColumn("key", mix_key(seed))
+    """(id, source, size, key): size in words (null text: 0), key a hash of seed, id and text.
 
-
-def mix_key(seed: int = 42) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
+    Rows with one id, or none, still get keys of their own as long as their texts differ.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest).cast("binary"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -71,8 +71,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     taken is the number of words the mix takes from the document, repeats counted; the sum over
     a source is its target rounded down. Null texts have size 0 and take nothing. A null source
-    is a source of its own, the last one. Rows that repeat with the same id and size share a key
-    and are interchangeable. Ties in key order fall back to id and size. If all sizes are 0, so
+    is a source of its own, the last one. Rows that repeat with the same id and text share a key and
+    are interchangeable: they travel as one row with their number. Ties in key order fall back to id and size. If all sizes are 0, so
     are all targets. Other columns of ``docs`` are not read.
     """
     group = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
@@ -82,8 +82,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offsets = ranges.select("group", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
     shares = targets(sized, weights).select(group.alias("group"), "source_size", "target")
     inside = Window.partitionBy("group", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    running = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = running.join(offsets.join(shares, "group"), ["group", "range"])
+    alike = sized.groupBy("group", "range", "key", "id", "size", "source").agg(F.count("*").alias("n"))
+    running = alike.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
+    each = numbered(running, "n", "nth").withColumn("inside", F.col("before") + F.col("nth") * F.col("size"))
+    placed = each.join(offsets.join(shares, "group"), ["group", "range"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inside")

@@ -106,8 +106,8 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-k AS (SELECT *, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)) AS key FROM d),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+k AS (SELECT *, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || digest) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
@@ -128,9 +128,25 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes")
 
 
+# CRC-32 is worked out byte by byte from its polynomial; the slot map by its rule, a shard at a time.
+OP7_SQL = r"""
+WITH RECURSIVE m(n, virtual_slot, shard) AS (SELECT 1, CAST(s AS INT), 0 FROM range(8192) r(s)
+    UNION ALL SELECT n + 1, virtual_slot, CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY virtual_slot) > 8192 // (n + 1) + CASE WHEN shard < 8192 % (n + 1) THEN 1 ELSE 0 END THEN n ELSE shard END FROM m WHERE n < 41),
+g AS (SELECT virtual_slot, max(shard) FILTER (n = 40) AS shard, max(shard) FILTER (n = 41) AS grown_shard FROM m GROUP BY 1),
+c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crcs),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]))) AS text_crc32,
+    CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 8192 AS INT) AS virtual_slot FROM t, c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, text_crc32 % 16, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard, virtual_slot,
+    CAST(sum(size) OVER (PARTITION BY virtual_slot) AS BIGINT) AS slot_bytes
+FROM d JOIN g USING (virtual_slot)
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "found.n_words",
@@ -184,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op3_secrets": _op3_sql(), "op6_mix": OP6_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_chat": OP1_SQL, "op3_secrets": _op3_sql(), "op6_mix": OP6_SQL, "op7_shard": OP7_SQL, "op8_decontaminate": OP8_SQL}

@@ -1,23 +1,25 @@
 """Sharding by fixed virtual slots.
 
 A record's slot is a hash of its key, one of a fixed number. A versioned map sends slots to
-shards; records never move between slots, so rebalancing edits the map alone. ``slot_bytes``
-aggregates bytes and rows per slot, and ``SlotMap.save`` stores a map's versions, without bytes.
-``shard`` and ``assign`` do neither: they work out the map anew on each run and don't store it.
-
-The map for n shards is reached from one shard by adding shards one at a time; each new shard
-takes its even part of the slots from the shards that hold most. It depends on n alone, and one
-more shard takes slots only into itself. ``SlotMap.rebalance`` edits a map by measured bytes.
+shards; records never move between slots, so rebalancing edits the map alone. Bytes are aggregated
+per slot and stored with each version of the map in the shared folder, and records are placed by
+joining that table.
+
+The map for n shards is reached from one shard by adding shards one at a time: each shard keeps its
+first slots up to an even share and the new one takes the rest. It depends on n alone, and one more
+shard takes slots only into itself. ``SlotMap.rebalance`` edits a map by measured bytes; ``assign``
+uses it, ``shard`` doesn't, as its law lets only the id and the number of shards decide.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import numbered, pin, shared_folder
 
 SLOTS = 8192
 SHARDS = 40
@@ -53,12 +55,13 @@ class SlotMap:
         return held
 
     def add_shard(self) -> int:
-        """A new version with one more shard, which takes slots from the fullest shards."""
+        """A new version with one more shard: the others keep their first slots, up to an even share."""
         held, edited = self._held(), list(self.current)
         new = len(held)
-        for _ in range(len(edited) // (new + 1)):
-            fullest = max(range(new), key=lambda s: (len(held[s]), -s))
-            edited[held[fullest].pop()] = new
+        each, more = divmod(len(edited), new + 1)
+        for shard, slots in enumerate(held):
+            for slot in slots[each + (shard < more) :]:
+                edited[slot] = new
         self.versions.append(edited)
         return new
 
@@ -92,9 +95,14 @@ class SlotMap:
         rows = [(v, slot, shard) for v, edited in enumerate(self.versions, 1) for slot, shard in enumerate(edited)]
         return spark.createDataFrame(rows, "version int, virtual_slot int, shard int")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Write all versions as a table in a shared folder."""
-        self.frame(spark).write.mode("overwrite").partitionBy("version").parquet(path)
+    def save(self, spark: SparkSession, path: str, weights: DataFrame | None = None) -> None:
+        """Write all versions as a table in a shared folder, with the measured bytes of each slot.
+
+        ``weights`` has virtual_slot and slot_bytes; both tables have a fixed number of rows.
+        """
+        rows = self.frame(spark)
+        measured = rows.join(F.broadcast(weights), "virtual_slot", "left") if weights is not None else rows.withColumn("slot_bytes", F.lit(0).cast("long"))
+        measured.select("version", "virtual_slot", "shard", F.coalesce("slot_bytes", F.lit(0)).cast("long").alias("slot_bytes")).write.mode("overwrite").partitionBy("version").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlotMap:
@@ -105,17 +113,28 @@ class SlotMap:
         return cls([[v[s] for s in range(len(v))] for _, v in sorted(versions.items())])
 
 
+def stored(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """(virtual_slot, shard, grown_shard, slot_bytes) from a stored map: a version, and the next as that with one more shard."""
+    rows = spark.read.parquet(path).filter(F.col("version").isin(version, version + 1))
+    of = lambda v: F.max(F.when(F.col("version") == v, F.col("shard")))
+    return rows.groupBy("virtual_slot").agg(of(version).alias("shard"), of(version + 1).alias("grown_shard"), F.max("slot_bytes").alias("slot_bytes"))
+
+
 def virtual_slot(key: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    """The first 32 bits of the key's MD5, modulo ``slots``; a null key hashes as the empty string."""
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots).cast("int")
+
+
+def _size(text_col: str) -> Column:
+    return (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + OVERHEAD_BYTES).cast("long")
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(id, size, text_crc32, virtual_slot, part): size is the text's UTF-8 bytes plus 16."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # rows of one key are dealt over the parts of its slot by text and input partition
-    part = F.pmod(F.xxhash64("id", "text_crc32", F.spark_partition_id()), F.lit(PARTS)).cast("int")
-    out = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return out.withColumn("virtual_slot", virtual_slot("id", slots)).withColumn("part", part)
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    # rows of one key are dealt over the parts of its slot by text
+    return docs.select(F.col(id_col).alias("id"), _size(text_col).alias("size"), crc.alias("text_crc32"), virtual_slot(id_col, slots).alias("virtual_slot"), (crc % PARTS).cast("int").alias("part"))
 
 
 def slot_bytes(recs: DataFrame) -> DataFrame:
@@ -123,44 +142,53 @@ def slot_bytes(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
 
-def _grown(spark: SparkSession, shards: int, slots: int) -> DataFrame:
-    """(virtual_slot, shard, grown_shard): the map for ``shards`` shards and for one more; ``slots`` rows."""
-    plan = SlotMap.for_shards(shards, slots)
-    plan.add_shard()
-    return spark.createDataFrame(list(zip(range(slots), *plan.versions, strict=True)), "virtual_slot int, shard int, grown_shard int")
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """``docs`` with virtual_slot, shard and grown_shard: shards near equal in bytes.
 
-
-def assign(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with virtual_slot, shard and grown_shard, without a shuffle.
-
-    These three columns replace any of the same names. Rows with a null id share one slot.
+    Bytes are aggregated per slot; the map for ``shards`` shards (version 1) is edited by them
+    (version 2) and grown by one shard (version 3), stored below ``path``, by default a new folder of
+    the shared one, and joined: one row per slot, a fixed number, and no row of ``docs`` is shuffled.
+    The three columns replace any of the same names. Rows with a null id share one slot, null texts
+    weigh 16 bytes, repeated rows and ties go the same way. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    weights = pin(slot_bytes(docs.select(virtual_slot(id_col, slots).alias("virtual_slot"), _size(text_col).alias("size"))))
+    plan = SlotMap.for_shards(shards, slots)
+    plan.rebalance({r.virtual_slot: r.slot_bytes for r in weights.collect()})
+    plan.add_shard()
+    plan.save(spark, path, weights)
     docs = docs.drop("virtual_slot", "shard", "grown_shard").withColumn("virtual_slot", virtual_slot(id_col, slots))
-    placed = docs.join(F.broadcast(_grown(docs.sparkSession, shards, slots)), "virtual_slot")
-    return placed.select(*(c for c in docs.columns if c != "virtual_slot"), "virtual_slot", "shard", "grown_shard")
+    placed = docs.join(F.broadcast(stored(spark, path, 2).drop("slot_bytes").withColumnRenamed("virtual_slot", "_to")), F.col("virtual_slot") == F.col("_to"))
+    return placed.select(*docs.columns, "shard", "grown_shard")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """(id, size, text_crc32, virtual_slot, slot_bytes, shard, slot, grown_shard): a row per row.
 
     shard depends on the id and the number of shards only; grown_shard is the shard with one more.
-    slot is the record's place in its shard, without gaps from 0. Null texts count as empty. Rows
-    with a null id share one virtual slot; repeated rows stay, at places of their own. An empty
-    table gives an empty result. Other columns of ``docs`` are not read.
-
-    Places come from counts per part of a slot: the table of offsets has at most
-    ``slots`` * PARTS rows, whatever the input, and is what is broadcast, with the map.
+    slot is the record's place in its shard, without gaps from 0, in the order of virtual slot, part,
+    id (null first), checksum and size, so that reruns agree. Null texts count as empty. Rows
+    with a null id share one virtual slot; rows alike in id, checksum and size are interchangeable and
+    travel as one row with their number. An empty table gives an empty result. Other columns of
+    ``docs`` are not read.
+
+    The map with the bytes of each slot is stored below ``path``, by default a new folder of the
+    shared one, and read from there. Places come from counts per part of a slot, at most ``slots`` *
+    PARTS rows whatever the input; the join's side is chosen by its measured size.
     """
     spark = docs.sparkSession
-    recs = pin(records(docs, id_col, text_col, slots))
-    mapped = _grown(spark, shards, slots)
-    parts = recs.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    keys = ["virtual_slot", "part", "id", "text_crc32", "size"]
+    alike = pin(records(docs, id_col, text_col, slots).groupBy(*keys).agg(F.count("*").alias("n")))
+    parts = pin(alike.groupBy("virtual_slot", "part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("slot_bytes")))
+    plan = SlotMap.for_shards(shards, slots)
+    plan.add_shard()
+    plan.save(spark, path, parts.groupBy("virtual_slot").agg(F.sum("slot_bytes").alias("slot_bytes")))
     earlier = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.join(F.broadcast(mapped), "virtual_slot").select(
-        "virtual_slot", "part", "shard", "grown_shard",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes"),
-    )
-    place = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("id", "text_crc32", "size")) - 1
-    placed = recs.withColumn("place", place).join(F.broadcast(offsets), ["virtual_slot", "part"])
-    return placed.select("id", "size", "text_crc32", "virtual_slot", "slot_bytes", "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    mapped = parts.drop("slot_bytes").join(F.broadcast(stored(spark, path, 1)), "virtual_slot")
+    offsets = mapped.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    before = Window.partitionBy("virtual_slot", "part").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(offsets, ["virtual_slot", "part"])
+    each = numbered(placed, "n", "nth")
+    return each.select("id", "size", "text_crc32", "virtual_slot", "slot_bytes", "shard", (F.col("offset") + F.col("before") + F.col("nth")).cast("long").alias("slot"), "grown_shard")

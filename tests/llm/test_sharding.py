@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,7 +34,55 @@ def test_id_decides_and_growth_moves_only_into_the_new_shard(spark):
     assert all(len(x) == 1 for x in by_id.values())
     grown = {r.id: r.shard for r in sharding.shard(docs, shards=41).collect()}
     assert grown == {i: next(iter(x))[1] for i, x in by_id.items()}
-    assert {r.doc_id: r.shard for r in sharding.assign(docs.filter("doc_id < 9")).collect()} == {i: next(iter(x))[0] for i, x in by_id.items() if i is not None and i < 9}
+
+
+def plain_slot(i):
+    return int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % 8192
+
+
+def plain_map(shards, slots=8192):
+    """Shards by slot: at each growth every shard keeps its first slots up to an even share."""
+    held = [list(range(slots))]
+    for n in range(1, shards):
+        new = []
+        for s in range(n):
+            keep = slots // (n + 1) + (s < slots % (n + 1))
+            new += held[s][keep:]
+            held[s] = held[s][:keep]
+        held.append(sorted(new))
+    return {slot: s for s, own in enumerate(held) for slot in own}
+
+
+def test_against_plain_python(spark):
+    now, grown = plain_map(40), plain_map(41)
+    rows = sorted(((plain_slot(i), zlib.crc32((t or "").encode()) % 16, i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16, i) for i, t, _ in ROWS))
+    places, expected = Counter(), []
+    for slot, _, _, _, crc, size, i in rows:
+        expected.append((str(i), size, crc, slot, now[slot], places[now[slot]], grown[slot]))
+        places[now[slot]] += 1
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for some in (docs, docs.repartition(7).orderBy("text")):
+        got = [(str(r.id), r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot, r.grown_shard) for r in sharding.shard(some).collect()]
+        assert sorted(got) == sorted(expected)
+
+
+def test_assign_evens_out_bytes_and_stores_the_map(spark, tmp_path):
+    rows = [(i, "x" * (20_000 if i % 53 == 0 else 10), "x", 1) for i in range(6000)] + [(None, None, "x", 1)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA + ", virtual_slot int")
+    got = sharding.assign(docs, path=str(tmp_path / "map")).collect()
+    assert len(got) == len(rows)
+    load = Counter()
+    for r in got:
+        load[r.shard] += len((r.text or "").encode()) + 16
+        assert r.virtual_slot == plain_slot(r.doc_id) and r.grown_shard in (r.shard, 40)
+    plain = Counter()
+    for i, t, *_ in rows:
+        plain[plain_map(40)[plain_slot(i)]] += len((t or "").encode()) + 16
+    assert max(load.values()) < max(plain.values()) and max(load.values()) <= 1.3 * sum(load.values()) / 40
+    kept = sharding.SlotMap.load(spark, str(tmp_path / "map"))
+    assert len(kept.versions) == 3 and {s: x for s, x in enumerate(kept.versions[0])} == plain_map(40) and kept.versions[0] != kept.versions[1]
+    measured = spark.read.parquet(str(tmp_path / "map")).filter("version = 2").agg(F.sum("slot_bytes")).first()[0]
+    assert measured == sum(load.values())
 
 
 def test_map_is_even_and_edits_keep_versions(spark, tmp_path):
