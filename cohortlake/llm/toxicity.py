@@ -7,11 +7,12 @@ DECAY ** s and may span at most MAX_SPAN, so gaps and inserted characters cost w
 the match. The kernel is normalised. A run of more than MAX_WORD bytes without white space is as
 like a landmark as the best of its overlapping windows, and its parts between signs count as words too.
 
-Landmark words come from a bounded sample of labelled texts. A sentence's kernel with a landmark
-is that of its best word, its feature vector is that row times K(landmarks) ** -1/2. The machine
-is trained on sentences: those of clean texts are negative, and in a toxic text the sentence that
-scores highest so far stands for it. A text scores as its highest sentence, mapped to 0..1 on
-labelled texts that the machine has not seen.
+Landmark words come from a bounded sample of labelled texts, read whole. A word's kernel values
+below FLOOR count as none, which makes the kernel sparse and most words nobody's likeness. A sentence's
+kernel with a landmark is that of its best word, its feature vector is that row times
+K(landmarks) ** -1/2. The machine is trained on sentences: all those of clean texts are negative, and
+in a toxic text the sentence that scores highest so far stands for it. A text scores as its highest
+sentence, mapped to 0..1 on labelled texts that the machine has not seen.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, utf8
+from .common import pin, texts, utf8
 
 LENGTH = 4
 MAX_SPAN = 6
 DECAY = 0.7
 LANDMARKS = 96
-#: Labelled texts that training gets: at most so many of each label, the first by a hash of the id,
-#: and so many bytes of each.
+#: Labelled texts that training gets: at most so many of each label, the first by a hash of the id. They
+#: come to the driver in so many parts, one at a time.
 SAMPLE_PER_LABEL = 1500
-SAMPLE_BYTES = 1 << 15
+SAMPLE_PARTS = 32
+#: Candidates for landmarks that are compared at once.
+RANKED = 128
 #: A word counts as like no landmark below this kernel value.
 FLOOR = 0.3
 #: Longer words are read in windows: (bytes, step). What has at most bytes - step + 1 lies whole in one.
@@ -47,7 +50,8 @@ WINDOW_BATCH = 4096
 #: Words whose kernels a worker keeps before it starts anew.
 KEEP = 300_000
 FOLD = 5
-PIECE = 1 << 20
+#: Longer sentences are read in blocks, cut between two words; a sentence's row is the highest of its blocks'.
+BLOCK = 1 << 20
 
 _FOLD = bytearray(256)
 for _c in range(256):
@@ -57,14 +61,16 @@ for _a, _b in zip(b"013457$@", b"oieastsa", strict=True):
 _DROP = bytes(c for c in range(256) if _FOLD[c] == 0)
 _FOLD = bytes(_FOLD)
 _SENTENCE = re.compile(rb"[.!?]+\s|\n")
-_SPACE = re.compile(rb"\s")
+#: Where a block may end: white space that no spelled-out word goes across.
+_CUT = re.compile(rb"(?<=\S\S)\s(?=\S\S)")
 #: Signs that join the parts of a run.
 _JOINT = re.compile(b"[" + re.escape(bytes(c for c in _DROP if not 0x30 <= c <= 0x39)) + b"]+")
 #: Letters on their own, in a row.
 _SPELLED = re.compile(rb"(?<!\S)[a-zA-Z](?:\s[a-zA-Z]){2,}(?![a-zA-Z0-9])")
 
-#: Five-bit codes: letters 1..26, the start mark 27, bytes above ASCII share 28..31.
-_CODE = np.array([c - 96 if 97 <= c <= 122 else 28 + (c & 3) if c >= 0x80 else 27 if c == 0x5E else 0 for c in range(256)], np.int64)
+#: Eight-bit codes: letters 1..26, the start mark 27, bytes above ASCII their own.
+_CODE = np.array([c - 96 if 97 <= c <= 122 else c if c >= 0x80 else 27 if c == 0x5E else 0 for c in range(256)], np.int64)
+_BITS = 8 * LENGTH
 _PATTERNS = [(0, *rest) for span in range(LENGTH, MAX_SPAN + 1) for rest in combinations(range(1, span), LENGTH - 1) if rest[-1] == span - 1]
 
 
@@ -86,8 +92,23 @@ def windows_of(word: bytes) -> Iterator[bytes]:
         yield word[-size:]
 
 
-def sentences_of(text: bytes) -> list[bytes]:
-    return [x for x in _SENTENCE.split(text) if x and not x.isspace()]
+def sentences_of(text: bytes) -> Iterator[bytes]:
+    at = 0
+    for end in _SENTENCE.finditer(text):
+        if not (x := text[at : end.start()]).isspace() and x:
+            yield x
+        at = end.end()
+    if not (x := text[at:]).isspace() and x:
+        yield x
+
+
+def blocks_of(sentence: bytes) -> Iterator[bytes]:
+    """The sentence in blocks of about BLOCK bytes that cut no word and no spelled-out word."""
+    at = 0
+    while len(sentence) - at > BLOCK and (cut := _CUT.search(sentence, at + BLOCK)):
+        yield sentence[at : cut.start()]
+        at = cut.end()
+    yield sentence[at:] if at else sentence
 
 
 def _subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,11 +126,15 @@ def _framed_subsequences(framed: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
         at = np.flatnonzero(left > pattern[-1])
         code = codes[at]
         for step in pattern[1:]:
-            code = code << 5 | codes[at + step]
-        keys.append(owner[at] << 20 | code)
+            code = code << 8 | codes[at + step]
+        keys.append(owner[at] << _BITS | code)
         weights.append(np.full(len(at), DECAY ** (pattern[-1] + 1)))
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key >> 20, key & 0xFFFFF, np.bincount(inverse, np.concatenate(weights), len(key))
+    return key >> _BITS, key & ((1 << _BITS) - 1), np.bincount(inverse, np.concatenate(weights), len(key))
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
 
 class Kernel:
@@ -119,11 +144,11 @@ class Kernel:
         self.landmarks = landmarks
         own, code, weight = _subsequences(landmarks)
         norm = np.sqrt(np.bincount(own, weight * weight, len(landmarks)))
-        self.row = np.full(1 << 20, -1, np.int32)
-        unique = np.unique(code)
-        self.row[unique] = np.arange(len(unique))
-        self.weights = np.zeros((len(unique), len(landmarks)), np.float32)
-        self.weights[self.row[code], own] = weight / np.maximum(norm[own], 1e-12)
+        self.codes, row = np.unique(code, return_inverse=True)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_hashed(self.codes)] = True
+        self.weights = np.zeros((len(self.codes), len(landmarks)), np.float32)
+        self.weights[row, own] = weight / np.maximum(norm[own], 1e-12)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """(words, landmarks); a word over MAX_WORD bytes gets the highest values of its windows."""
@@ -137,13 +162,15 @@ class Kernel:
     def _framed(self, words: list[bytes]) -> np.ndarray:
         own, code, weight = _framed_subsequences(words)
         norm = np.sqrt(np.bincount(own, weight * weight, len(words)))
-        row = self.row[code]
-        met = np.flatnonzero(row >= 0)
+        met = np.flatnonzero(self.maybe[_hashed(code)])  # then only few are looked up
+        row = np.searchsorted(self.codes, code[met])
+        same = self.codes[np.minimum(row, len(self.codes) - 1)] == code[met] if len(self.codes) else np.zeros(len(met), bool)
+        met, row = met[same], row[same]
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if len(met):
             owners = own[met]
             first = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
-            out[owners[first]] = np.add.reduceat(self.weights[row[met]] * weight[met, None].astype(np.float32), first, axis=0)
+            out[owners[first]] = np.add.reduceat(self.weights[row] * weight[met, None].astype(np.float32), first, axis=0)
         return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
 
@@ -177,62 +204,55 @@ class Scorer:
 
     def margins(self, docs: list[bytes]) -> np.ndarray:
         """The highest decision value of any sentence of each text; a text without words gets the bias."""
-        split = [words_of(x) for x in docs]
-        self._learn({w for words in split for w in words})
+        short = [words_of(x) if len(x) <= BLOCK else None for x in docs]
+        self._learn({w for words in short if words for w in words})
         known, out = self.known, np.full(len(docs), self.model.bias)
-        for i, (text, words) in enumerate(zip(docs, split, strict=True)):
-            if any(known[w] is not None for w in set(words)):
-                best = None
-                for sentence in sentences_of(text):
-                    row = sentence_row(self._values(words_of(sentence)))
-                    if row is not None:
-                        value = float(row @ self.model.weights) + self.model.bias
-                        best = value if best is None else max(best, value)
-                if best is not None:
-                    out[i] = max(best, self.model.bias)
+        for i, (text, words) in enumerate(zip(docs, short, strict=True)):
+            if words is None or any(known.get(w) is not None for w in set(words)):
+                best = max((float(row @ self.model.weights) for x in sentences_of(text) if (row := self.row(x)) is not None), default=0.0)
+                out[i] = self.model.bias + max(best, 0.0)
         return out
 
+    def row(self, sentence: bytes) -> np.ndarray | None:
+        """The highest kernel values of the sentence's words; null if none is like a landmark."""
+        rows = [r for x in blocks_of(sentence) if (r := sentence_row(self._values(words_of(x)))) is not None]
+        return sentence_row(rows)
+
     def _values(self, words: list[bytes]) -> list[np.ndarray]:
-        if any(w not in self.known for w in words):  # a word that only a sentence cut brings about
+        if any(w not in self.known for w in words):
             self._learn(set(words))
         return [v for w in words if (v := self.known.get(w)) is not None]
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
-        """Very long texts are scored in pieces cut at white space; the highest piece counts."""
-        margins = np.array([self.margins(list(pieces(x))).max() for x in docs]) if any(len(x) > PIECE for x in docs) else self.margins(docs)
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * margins + self.model.shift, -500, 500)))
-
-
-def pieces(text: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(text) - at > PIECE:
-        cut = _SPACE.search(text, at + PIECE)
-        end = cut.start() if cut else len(text)
-        yield text[at:end]
-        at = end
-    yield text[at:]
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * self.margins(docs) + self.model.shift, -500, 500)))
 
 
 def sentence_row(values: list[np.ndarray]) -> np.ndarray | None:
     return np.max(values, axis=0) if values else None
 
 
-def _landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
-    """Words that tell toxic from clean texts, most telling first, and none too like a chosen one."""
-    often, other = Counter(w for x in toxic for w in x), Counter(w for x in clean for w in x)
-    t, c = max(1, len(toxic)), max(1, len(clean))
+def _landmarks(often: Counter, other: Counter, toxic: int, clean: int) -> list[bytes]:
+    """Words that tell toxic from clean texts, most telling first, and none too like a chosen one.
+
+    ``often`` and ``other`` count the toxic and the clean texts that hold a word. All telling words are
+    candidates; they are compared a block at a time, so memory doesn't grow with them.
+    """
+    t, c = max(1, toxic), max(1, clean)
     least = max(2, t // 400)  # a word of a single text tells nothing
     telling = {w: np.log((n + 0.5) / (t + 1) / ((other[w] + 0.5) / (c + 1))) * np.sqrt(n) for w, n in often.items() if n >= least and 3 <= len(w) <= MAX_WORD}
-    ranked = sorted((w for w, v in telling.items() if v > 0), key=lambda w: (-telling[w], w))[: 6 * LANDMARKS]
+    ranked = sorted((w for w, v in telling.items() if v > 0), key=lambda w: (-telling[w], w))
     chosen: list[bytes] = []
-    if ranked:
-        alike = Kernel(ranked)(ranked)
-        free = np.ones(len(ranked), bool)
-        for i in range(len(ranked)):
+    for at in range(0, len(ranked), RANKED):
+        if len(chosen) >= LANDMARKS:
+            break
+        block = ranked[at : at + RANKED]
+        alike = Kernel(block)(block)
+        free = (Kernel(chosen)(block) < 0.8).all(axis=1) if chosen else np.ones(len(block), bool)
+        for i, word in enumerate(block):
             if free[i] and len(chosen) < LANDMARKS:
-                chosen.append(ranked[i])
+                chosen.append(word)
                 free &= alike[i] < 0.8
-    for w, _ in other.most_common(8 * LANDMARKS):  # plain words fill up, so that there is always a landmark
+    for w, _ in sorted(other.items(), key=lambda x: (-x[1], x[0])):  # plain words fill up, so that there is always a landmark
         if len(chosen) >= LANDMARKS + 8:
             break
         if w not in often and 3 < len(w) <= MAX_WORD:
@@ -242,24 +262,21 @@ def _landmarks(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, decay: float = 1e-3, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by accelerated gradient steps; ``cost`` weighs the examples."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, z, t = np.zeros(x1.shape[1]), np.zeros(x1.shape[1]), 1.0
-    lip = 2 * np.linalg.norm(x1 * np.sqrt(cost)[:, None], 2) ** 2 + decay
+    blocks = ((x1[a : a + 8192], cost[a : a + 8192, None]) for a in range(0, len(x1), 8192))
+    lip = 2 * float(np.linalg.eigvalsh(sum((b * c).T @ b for b, c in blocks))[-1]) + decay
     reg = np.full(len(w), decay)
     reg[-1] = decay * 1e-2
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        slope = reg * z - 2 * x1.T @ (cost * y * slack)
+        slack = np.maximum(0, 1 - y * (x1 @ z.astype(x1.dtype)))
+        slope = reg * z - 2 * (x1.T @ (cost * y * slack).astype(x1.dtype))
         new = z - slope / lip
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t1 * (new - w), new, t1
     return w[:-1], float(w[-1])
 
 
-def _balanced(y: np.ndarray) -> np.ndarray:
-    return np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-
-
 def _scale(margin: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Slope and shift of a logistic curve: 0.5 lies where F1 is best, the slope fits by Newton steps.
 
@@ -284,37 +301,62 @@ def _scale(margin: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[floa
     return slope, -slope * cut
 
 
-def fit(rows: list[tuple[bytes, int]], clean_weight: float = 1.0) -> Model:
+class Sample:
+    """Labelled texts in a fixed order, read again for each step of the fit.
+
+    ``read`` gives an iterator over (text, label); a table's sample comes part by part, so that the
+    driver holds one part of the texts at a time. Every third row is kept apart for the scale.
+    """
+
+    def __init__(self, read, clean_weight: float = 1.0):
+        self.read, self.clean_weight = read, clean_weight
+        self.labels = [y for _, y in read()]
+
+    def rows(self, apart: bool | None = None) -> Iterator[tuple[bytes, int]]:
+        """All rows, or those kept apart, or the others; a small sample has no rows apart."""
+        some = apart is not None and len(self.labels) >= 60
+        return (r for i, r in enumerate(self.read()) if not some or (i % 3 == 2) == apart)
+
+    def scaling(self) -> Iterator[tuple[bytes, int]]:
+        apart = sum(y for i, y in enumerate(self.labels) if i % 3 == 2) if len(self.labels) >= 60 else sum(self.labels)
+        return self.rows(True) if apart >= 30 else self.rows()
+
+
+def fit(sample: Sample | list[tuple[bytes, int]], clean_weight: float = 1.0) -> Model:
     """The model for labelled texts; every third one is kept for the scale of the scores.
 
     ``clean_weight`` says how many clean texts one of the sample stands for, if a toxic one stands for one.
+    Equal sentence rows of clean texts are one row with their number as cost, so that all of them count.
     """
-    apart = [r for i, r in enumerate(rows) if i % 3 == 2] if len(rows) >= 60 else rows
-    learned = [r for i, r in enumerate(rows) if i % 3 != 2] if len(rows) >= 60 else rows
-    words = [(set(words_of(x)), y) for x, y in learned]
-    kernel = Kernel(_landmarks([w for w, y in words if y], [w for w, y in words if not y]))
+    sample = sample if isinstance(sample, Sample) else Sample(lambda rows=sample: iter(rows), clean_weight)
+    holds, n = (Counter(), Counter()), [0, 0]
+    for text, y in sample.rows(False):
+        holds[y].update({w for s in sentences_of(text) for x in blocks_of(s) for w in words_of(x)})
+        n[y] += 1
+    kernel = Kernel(_landmarks(holds[1], holds[0], n[1], n[0]))
+    del holds
     gram = kernel(kernel.landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     model = Model(kernel, np.zeros(len(gram)), 0.0, 1.0, 0.0)
     scorer = Scorer(model)
-    scorer._learn(set().union(*(w for w, _ in words)) if words else set())
-    none = np.zeros(len(gram))
-    toxic, clean = [], [none]
-    for text, y in learned:
-        found = [r for s in sentences_of(text) if (r := sentence_row(scorer._values(words_of(s)))) is not None]
+    toxic, clean = [], Counter({np.zeros(len(gram), np.float32).tobytes(): 1})
+    for text, y in sample.rows(False):
+        found = [r.astype(np.float32) for s in sentences_of(text) if (r := scorer.row(s)) is not None]
         if y:
-            toxic += [np.array(found)] if found else []
+            toxic += [np.unique(found, axis=0)] if found else []
         else:
-            clean += found[:64]
+            clean.update(r.tobytes() for r in found)
     if toxic:
-        # clean sentences with the highest kernels are the hard ones; the sample bounds them
-        bad = np.array(sorted(clean, key=lambda r: -r.max())[:20_000])
+        bad = np.frombuffer(b"".join(clean), np.float32).reshape(len(clean), -1) @ root.astype(np.float32)
+        times = np.fromiter(clean.values(), np.float64, len(clean))
+        clean.clear()
         witness = [x[x.max(axis=1).argmax()] for x in toxic]
         for _ in range(4):
-            x = np.concatenate([np.array(witness), bad]) @ root
+            x = np.concatenate([(np.array(witness) @ root).astype(np.float32), bad])
             y = np.concatenate([np.ones(len(witness)), -np.ones(len(bad))])
-            w, model.bias = _fit_svm(x, y, _balanced(y))
+            cost = np.concatenate([np.full(len(witness), 0.5 / len(witness)), 0.5 * times / times.sum()])
+            w, model.bias = _fit_svm(x, y, cost)
             model.weights = root @ w
             chosen = [x[(x @ model.weights).argmax()] for x in toxic]
             if all((a == b).all() for a, b in zip(chosen, witness, strict=True)):
@@ -322,28 +364,32 @@ def fit(rows: list[tuple[bytes, int]], clean_weight: float = 1.0) -> Model:
             witness = chosen
     else:
         model.bias = -1.0
-    if rows:
-        scale = apart if sum(y for _, y in apart) >= 30 else rows
-        model.slope, model.shift = _scale(scorer.margins([x for x, _ in scale]), np.array([1 if y else -1 for _, y in scale]), clean_weight)
+    if sample.labels:
+        margins, y = [], []
+        rows = sample.scaling()
+        while part := list(islice(rows, 64)):
+            margins.append(scorer.margins([x for x, _ in part]))
+            y += [1 if label else -1 for _, label in part]
+        model.slope, model.shift = _scale(np.concatenate(margins), np.array(y), sample.clean_weight)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, fold: int = FOLD) -> tuple[list[tuple[bytes, int]], float]:
-    """(rows, clean weight): at most ``per_label`` rows of each label, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, fold: int = FOLD) -> Sample:
+    """At most ``per_label`` rows of each label, the first by a hash of the id, with their whole texts.
 
-    Rows of the held-out fold are left out.
+    Rows of the held-out fold are left out. The sample is pinned in the shared folder.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out("id", fold))
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id"))
     first = [r for label in (0, 1) for r in chosen.filter(F.col("label") == label).orderBy("order", "id").limit(per_label).collect()]
     if not first:
-        return [], 1.0
+        return Sample(lambda: iter(()))
     there = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     weight = [there.get(label, 0) / max(1, min(per_label, there.get(label, 0))) for label in (0, 1)]
     keys = docs.sparkSession.createDataFrame([(r.id, r.label, r.order) for r in first], chosen.schema)
-    text = F.substring(utf8(text_col), 1, SAMPLE_BYTES)
-    met = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(keys), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text"))
-    return [(bytes(r.text), r.label) for r in sorted(met.collect(), key=lambda r: (r.order, r.id))], max(weight[0], 1.0) / max(weight[1], 1.0)
+    met = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).join(F.broadcast(keys), "id").groupBy("id", "label", "order").agg(F.min("text").alias("text"))
+    sample = pin(met.repartitionByRange(SAMPLE_PARTS, "order", "id").sortWithinPartitions("order", "id").select("text", "label"))
+    return Sample(lambda: ((bytes(r.text), r.label) for r in sample.toLocalIterator()), max(weight[0], 1.0) / max(weight[1], 1.0))
 
 
 def is_held_out(id_col: str = "doc_id", fold: int = FOLD) -> Column:
@@ -373,5 +419,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, out: str = "score", id_col: str
     like no landmark. Rows and other columns stay; a column already named ``out`` is replaced.
     Without labelled rows, or with one label only, all texts get one constant score.
     """
-    model = fit(*labelled_sample(docs, labels, id_col, text_col, label_col))
+    model = fit(labelled_sample(docs, labels, id_col, text_col, label_col))
     return docs.withColumn(out, score_column(docs.sparkSession, model, text_col))

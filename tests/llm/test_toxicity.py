@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -78,6 +80,48 @@ def made(n=400, seed=3):
     return out
 
 
+def brute_score(model, text):
+    """The score by listing subsequences: best word per landmark, sentence by sentence."""
+    best = 0.0
+    for sentence in re.split(rb"[.!?]+\s|\n", text):
+        rows = [v for w in tox.words_of(sentence) if max(v := [kernel(w, m) for m in model.kernel.landmarks]) >= tox.FLOOR]
+        if rows:
+            best = max(best, sum(x * w for x, w in zip(map(max, zip(*rows, strict=True)), model.weights, strict=True)))
+    return 1 / (1 + math.exp(-(model.slope * (model.bias + best) + model.shift)))
+
+
+def test_scores_against_brute_force(monkeypatch):
+    monkeypatch.setattr(tox, "LANDMARKS", 12)
+    rows = [(t.encode(), y) for t, y in made()]
+    model = tox.fit(rows)
+    some = [t for t, _ in rows[:12]] + [b"", b"?!", b"you i d i o t. fine", "müde Idiotén".encode(), b"one\ntwo scumm"]
+    found = tox.Scorer(model).scores(some)
+    for text, score in zip(some, found, strict=True):
+        assert abs(score - brute_score(model, text)) < 1e-3, text
+
+
+def test_cuts_change_nothing(monkeypatch):
+    model = tox.fit([(t.encode(), y) for t, y in made()])
+    r = random.Random(6)
+    long = [" ".join(r.choice(["then", "eron", "i", "d", "x!", "s c u m", "idiot", "anre", "a b"]) for _ in range(300)).encode() for _ in range(20)]
+    long += [t + b". " + t for t in long[:5]] + [b"a " * 400, b"x" * 3000 + b" idiot"]
+    whole = tox.Scorer(model).scores(long)
+    monkeypatch.setattr(tox, "BLOCK", 40)
+    assert all(b"".join(tox.blocks_of(t)).replace(b" ", b"") == t.replace(b" ", b"") for t in long)
+    assert np.allclose(tox.Scorer(model).scores(long), whole)
+
+
+def test_every_sentence_of_a_clean_text_counts():
+    clean = "idiot fish. " * 100 + "calm sea. " * 3
+    model = tox.fit([(t.encode(), y) for t, y in made()] + [(clean.encode(), 0)] * 60)
+    assert tox.Scorer(model).scores([b"idiot fish"])[0] <= tox.Scorer(tox.fit([(t.encode(), y) for t, y in made()])).scores([b"idiot fish"])[0]
+
+
+def test_letters_above_ascii_differ():
+    k = tox.Kernel(["дурак".encode()])
+    assert k(["дурак".encode()])[0, 0] > 0.99 and k(["книга".encode()])[0, 0] < 0.6
+
+
 def test_held_out_accuracy(spark):
     rows = made()
     docs = spark.createDataFrame([(i, t, 0.5) for i, (t, _) in enumerate(rows)] + [(1000, None, 0.5), (1001, "", 0.5), (1002, "?!", 0.5), (1003, "fine words " * 200_000 + "you idiot", 0.5)], "doc_id long, text string, score double")
