@@ -4,13 +4,19 @@ Counts of all words come first; they give the add-0.1 unigram base. The most fre
 fixed number, form the head and are sent to the executors. Each word has a class: head words by
 k-means over their spelling, with the end mark on its own, other words by a hash. The model is
 
-    P(word | history) = P(class | history) * P(word | class)
+    P(word | history) = P(class | history) * P(word | class, history)
 
-P(class | history) is a softmax over hashed features of the two words before: a bias, the last
-word, the last two together, and the second last alone (a skip). Weights are trained by
-distributed gradient updates over all training texts: every partition takes minibatch steps from
-the same weights, and the changes are averaged by row, weighted by how often a row was touched.
-P(word | class) is the add-0.1 relative frequency in the class, one share for an unseen word.
+Both factors are softmaxes. That over the classes has hashed features of the two words before: a
+bias, the last word, the last two together, and the second last alone (a skip). Its weights are
+trained by distributed gradient updates over all training texts: every partition takes minibatch
+steps from the same weights, and the changes are averaged by row, weighted by how often a row was
+touched. The hashed table grows with the number of distinct words, up to 2 ** BUCKET_BITS[1] rows.
+
+The softmax over a class's words has a bias per word and features of the last word's class and the
+second last's (a skip). Its gradient needs only how often each word follows each class at either
+distance; partitions count that in the same pass, and each class is then a problem of its own, solved
+by gradient steps in a task of its own. Words outside the head have the bias alone: the add-0.1
+relative frequency in their class, one share for an unseen word.
 
 Words outside the head are joined with the counts; of a text only its distinct rare words travel.
 """
@@ -37,8 +43,13 @@ HEAD_BYTES = 64
 HEAD_CLASSES = 11
 TAIL_CLASSES = 4
 CLASSES = 1 + HEAD_CLASSES + TAIL_CLASSES
-#: Rows of the hashed weight table.
-BUCKETS = 1 << 16
+#: What stands before a text counts as one more class of a last or second last word.
+CONTEXTS = CLASSES + 1
+#: Rows of the hashed weight table: a power of two from BUCKETS_PER_WORD rows per distinct word, in these bounds.
+BUCKETS_PER_WORD = 4
+BUCKET_BITS = (14, 18)
+#: Gradient steps of a class's words, how far one may go, and what holds rare features back.
+IN_CLASS_STEPS, IN_CLASS_REACH, IN_CLASS_PRIOR = 25, 1.0, 2.0
 STEP = 0.25
 #: Places per step: the least, the most, and in between a share of the places seen so far.
 MINIBATCH = (4096, 65536)
@@ -121,11 +132,16 @@ class Model:
         tail = np.arange(CLASSES) > HEAD_CLASSES
         self.class_total = totals[:, 0] + ADD * (totals[:, 1] + tail)
         self.class_total = np.maximum(self.class_total, ADD)
-        self.in_class = np.log10((counts + ADD) / self.class_total[self.classes])
+        self.bias = np.log((counts + ADD) / self.class_total[self.classes])
         self.base = np.log10((counts + ADD) / base_total(tokens, types))
         self.known = counts > 0
-        self.weights = np.zeros((BUCKETS + 1, CLASSES), np.float32)
-        self.weights[BUCKETS] = np.log(self.class_total / self.class_total.sum())  # the bias row
+        # rows of hashed features and, last, the bias
+        self.bits = int(np.clip(np.ceil(np.log2(max(1, types) * BUCKETS_PER_WORD)), *BUCKET_BITS))
+        self.weights = np.zeros(((1 << self.bits) + 1, CLASSES), np.float32)
+        self.weights[-1] = np.log(self.class_total / self.class_total.sum())
+        # by distance: a head word's weight after each class, and what the class's words add up to
+        self.after = np.zeros((2, CONTEXTS, n), np.float32)
+        self.log_sum = np.zeros((CLASSES, CONTEXTS, CONTEXTS))
 
     def tokens_of(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Ids: a head word's index, or the head's size plus a hash; and the words outside the head."""
@@ -137,6 +153,25 @@ class Model:
             out[out < 0] = [n + zlib.crc32(w) for w in tail]
         return out, tail
 
+    def settle(self) -> None:
+        """Work out what each class's words add up to after each pair of classes."""
+        for c in range(1 + HEAD_CLASSES):
+            own = np.flatnonzero(self.classes == c)
+            if len(own):
+                for one in range(CONTEXTS):
+                    logits = self.bias[own] + self.after[0, one, own] + self.after[1][:, own]
+                    top = logits.max(axis=1)
+                    self.log_sum[c, one] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+
+    def contexts_of(self, history: np.ndarray) -> np.ndarray:
+        return np.where(history >= BEFORE, CLASSES, self.classes_of(history))
+
+    def in_class(self, words: np.ndarray, classes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """log10 P(word | class, contexts) of head words."""
+        one, two = contexts
+        log = self.bias[words] + self.after[0, one, words] + self.after[1, two, words] - self.log_sum[classes, one, two]
+        return log / math.log(10)
+
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         n = len(self.index)
         return np.where(ids < n, self.classes[np.minimum(ids, n - 1)], 1 + HEAD_CLASSES + (ids - n) % TAIL_CLASSES)
@@ -146,12 +181,16 @@ def base_total(tokens: int, types: int) -> float:
     return tokens + ADD * (types + 1)
 
 
-def _rows(history: np.ndarray) -> np.ndarray:
+#: Ids from here on mark what stands before a text, at each distance.
+BEFORE = 1 << 40
+
+
+def _rows(history: np.ndarray, bits: int) -> np.ndarray:
     """Hashed weight rows (3, n) for histories (2, n) of the last and second last word."""
     one, two = history.astype(np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
     keys = (one * np.uint64(4) + np.uint64(1), (one * np.uint64(0x100000001B3) ^ two) * np.uint64(4) + np.uint64(2), two * np.uint64(4) + np.uint64(3))
-    return np.stack([((k * mix) >> np.uint64(48)).astype(np.int64) % BUCKETS for k in keys])
+    return np.stack([((k * mix) >> np.uint64(64 - bits)).astype(np.int64) for k in keys])
 
 
 def _history(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -159,13 +198,13 @@ def _history(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.empty((2, len(ids)), np.int64)
     at = np.arange(len(ids)) - starts
     for back in (1, 2):
-        out[back - 1] = np.where(at >= back, np.roll(ids, back), (1 << 40) + back)
+        out[back - 1] = np.where(at >= back, np.roll(ids, back), BEFORE + back)
     return out
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of the classes, natural."""
-    logits = weights[rows[0]] + weights[BUCKETS]
+    logits = weights[rows[0]] + weights[-1]
     for r in rows[1:]:
         logits += weights[r]
     logits -= logits.max(axis=1, keepdims=True)
@@ -204,27 +243,36 @@ def _batched(model: Model, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[
         yield np.concatenate(ids), np.concatenate(starts), np.concatenate(owners), rare
 
 
+_CHANGE = "kind int, block int, rows binary, change binary, touched binary"
+
+
 def _train_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        weights = model.weights.copy()
+        weights, bias, size = model.weights.copy(), len(model.weights) - 1, len(model.index)
         squares = np.full(weights.shape, 1e-2, np.float32)
         touched = np.zeros(len(weights), np.int64)
+        follows = np.zeros((2, CONTEXTS * size), np.int64)
+        pairs = np.zeros(CLASSES * CONTEXTS * CONTEXTS, np.int64)
         columns = np.arange(CLASSES)
         rows = ((0, x) for batch in batches for part in texts(batch.column(0)) for x in part)
         seen = 0
         for ids, starts, owners, _ in _batched(model, rows):
             real = owners >= 0
-            features = _rows(_history(ids, starts)[:, real])
-            classes = model.classes_of(ids[real])
+            history, words = _history(ids, starts)[:, real], ids[real]
+            features, classes, (one, two) = _rows(history, model.bits), model.classes_of(words), model.contexts_of(history)
+            head = words < size
+            for k, context in enumerate((one, two)):
+                follows[k] += np.bincount(context[head] * size + words[head], minlength=follows.shape[1])
+            pairs += np.bincount((classes * CONTEXTS + one) * CONTEXTS + two, minlength=len(pairs))
             at = 0
             while at < len(classes):
-                size = min(max(MINIBATCH[0], seen // MINIBATCH_SHARE), MINIBATCH[1])
-                some, right = features[:, at : at + size], classes[at : at + size]
+                most = min(max(MINIBATCH[0], seen // MINIBATCH_SHARE), MINIBATCH[1])
+                some, right = features[:, at : at + most], classes[at : at + most]
                 slope = np.exp(_softmax(weights, some))
                 slope[np.arange(len(right)), right] -= 1
                 counts = np.bincount(some.ravel(), minlength=len(weights))
-                counts[BUCKETS] = len(right)
+                counts[bias] = len(right)
                 own = np.flatnonzero(counts)
                 place = np.cumsum(counts > 0) - 1
                 sums = np.empty((len(own), CLASSES), np.float32)
@@ -238,51 +286,115 @@ def _train_batches(shared):
                 weights[own] -= STEP * sums / np.sqrt(square)
                 touched += counts
                 seen += len(right)
-                at += size
-        change = (weights - model.weights) * touched[:, None]
+                at += most
+        if not seen:
+            return
+        row = lambda kind, block, *parts: pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["kind", "block", "rows", "change", "touched"])
         for at in range(0, len(weights), BLOCK):
-            if touched[at : at + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([change[at : at + BLOCK].astype(np.float32).tobytes()], pa.binary()), pa.array([touched[at : at + BLOCK].tobytes()], pa.binary())], ["block", "change", "touched"])
+            own = np.flatnonzero(touched[at : at + BLOCK])
+            if len(own):
+                n = touched[at : at + BLOCK][own]
+                yield row(0, at // BLOCK, own.astype(np.int32), ((weights[at + own] - model.weights[at + own]) * n[:, None]).astype(np.float32), n)
+        follows, pairs = follows.reshape(2, CONTEXTS, size), pairs.reshape(CLASSES, CONTEXTS, CONTEXTS)
+        for c in range(1 + HEAD_CLASSES):
+            words = np.flatnonzero(model.classes == c)
+            if len(words) and pairs[c].any():
+                yield row(1, c, follows[0][:, words].astype(np.int32), follows[1][:, words].astype(np.int32), pairs[c].astype(np.int64))
 
     return run
 
 
-def _average_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the changes of the rows of a block; a block's rows come one at a time."""
-    block, change, touched = None, None, None
-    for batch in batches:
-        for b, c, t in zip(*(batch.column(i) for i in range(3)), strict=True):
-            block = b.as_py()
-            c = np.frombuffer(c.as_py(), np.float32).astype(np.float64)
-            t = np.frombuffer(t.as_py(), np.int64)
-            change, touched = (c, t) if change is None else (change + c, touched + t)
-    mean = change.reshape(len(touched), -1) / np.maximum(touched, 1)[:, None]
-    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], ["block", "change"])
+def _averaged(rows: Iterator[tuple[bytes, bytes, bytes]]) -> np.ndarray:
+    """The mean change of a block's rows, weighted by how often they were touched."""
+    change, touched = np.zeros((BLOCK, CLASSES)), np.zeros(BLOCK, np.int64)
+    for own, c, n in rows:
+        own = np.frombuffer(own, np.int32)
+        change[own] += np.frombuffer(c, np.float32).reshape(-1, CLASSES)
+        touched[own] += np.frombuffer(n, np.int64)
+    return (change / np.maximum(touched, 1)[:, None]).astype(np.float32)
+
+
+def in_class_weights(bias: np.ndarray, follows: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Weights (2, CONTEXTS, words) of a class's words after each class at either distance.
+
+    ``follows`` counts each word after each context at both distances, ``pairs`` the class's places by
+    both contexts. A step goes up the gradient, counted minus expected, with rare features held back.
+    """
+    after = np.zeros(follows.shape)
+    for _ in range(IN_CLASS_STEPS):
+        expected = np.zeros(follows.shape)
+        for one in range(CONTEXTS):
+            some = np.flatnonzero(pairs[one])
+            logits = bias + after[0, one] + after[1, some]
+            p = np.exp(logits - logits.max(axis=1, keepdims=True, initial=-np.inf)) if len(some) else logits
+            p *= (pairs[one, some] / np.maximum(p.sum(axis=1), 1e-300))[:, None]
+            expected[0, one] += p.sum(axis=0)
+            expected[1, some] += p
+        slope = (follows - expected - IN_CLASS_PRIOR * after) / (expected + IN_CLASS_PRIOR)
+        after += 0.5 * np.clip(slope, -IN_CLASS_REACH, IN_CLASS_REACH)
+    return after
+
+
+def _joined(shared):
+    """Combine what the partitions found: mean changes of a block, or the weights of a class's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = block = None
+        model: Model = shared.value
+
+        def rows() -> Iterator[tuple[bytes, bytes, bytes]]:
+            nonlocal kind, block
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    kind, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    yield tuple(batch.column(k)[i].as_py() for k in (2, 3, 4))
+
+        every = rows()
+        first = next(every)
+        chained = (x for part in ((first,), every) for x in part)
+        if kind == 0:
+            out = _averaged(chained)
+        else:
+            own = np.flatnonzero(model.classes == block)
+            follows, pairs = np.zeros((2, CONTEXTS, len(own))), np.zeros((CONTEXTS, CONTEXTS))
+            for a, b, p in chained:
+                follows += np.stack([np.frombuffer(x, np.int32).reshape(CONTEXTS, -1) for x in (a, b)])
+                pairs += np.frombuffer(p, np.int64).reshape(CONTEXTS, CONTEXTS)
+            out = in_class_weights(model.bias[own], follows, pairs).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "found"])
+
+    return run
 
 
 def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     """The most frequent words, at most HEAD_WORDS, and the end mark, by count and word.
 
     Words are first counted by the logarithm of their count, a few hundred rows; the head is all
-    from the lowest step that keeps it in bounds. No task sends the driver more than that.
+    from the lowest step that fits, and of the next step the words with the lowest hashes, as far as
+    there is room. No task sends the driver more than that.
     """
-    step = F.floor(16 * F.log2("n"))
+    step, share = F.floor(16 * F.log2("n")), F.pmod(F.crc32("word"), F.lit(4096))
     steps = sorted(((r.s, r.k) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    room, lowest = HEAD_WORDS, None
+    room, chosen = HEAD_WORDS, F.col("word") == F.lit(END)
     for s, k in steps:
         if k > room:
+            shares = sorted((r.h, r.k) for r in counts.filter(step == s).groupBy(share.alias("h")).agg(F.count("*").alias("k")).collect())
+            upto = -1
+            for h, n in shares:
+                if n > room:
+                    break
+                room, upto = room - n, h
+            chosen |= (step == s) & (share <= upto)
             break
-        room, lowest = room - k, s
-    end = F.col("word") == F.lit(END)
-    rows = counts.filter(end if lowest is None else end | (step >= lowest)).collect()
-    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+        room, chosen = room - k, chosen | (step == s)
+    return sorted(((bytes(r.word), r.n) for r in counts.filter(chosen).collect()), key=lambda x: (-x[1], x[0]))
 
 
 def train(train_docs: DataFrame, counts: DataFrame, text_col: str = "text", rounds: int = 1) -> Model:
     """The model for the training texts; ``counts`` are their word counts, pinned.
 
-    The driver gets the head, eight class totals and one mean change of the weights a round:
-    fixed sizes. The changes of all partitions are summed on the executors, a block of rows each.
+    The driver gets the head, class totals, one mean change of the weights a round and the weights of
+    the classes' words, all of bounded size. What the partitions found is summed on the executors.
     """
     spark = counts.sparkSession
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -297,10 +409,16 @@ def train(train_docs: DataFrame, counts: DataFrame, text_col: str = "text", roun
     lines = train_docs.select(utf8(text_col).alias("text"))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        changes = lines.mapInArrow(_train_batches(shared), "block int, change binary, touched binary")
-        for r in changes.groupBy("block").applyInArrow(_average_group, "block int, change binary").collect():
-            model.weights[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(-1, CLASSES)
+        found = lines.mapInArrow(_train_batches(shared), _CHANGE).groupBy("kind", "block").applyInArrow(_joined(shared), "kind int, block int, found binary")
+        for r in found.toLocalIterator():
+            values = np.frombuffer(r.found, np.float32)
+            if r.kind == 0:
+                own = model.weights[r.block * BLOCK : (r.block + 1) * BLOCK]
+                own += values.reshape(-1, CLASSES)[: len(own)]
+            else:
+                model.after[:, :, model.classes == r.block] = values.reshape(2, CONTEXTS, -1)
         shared.unpersist()
+    model.settle()
     return model
 
 
@@ -319,11 +437,12 @@ def _score_batches(shared):
             rows = enumerate(x for part in texts(batch) for x in part)
             for ids, starts, owners, tails in _batched(model, rows):
                 real = owners >= 0
-                features, own, words = _rows(_history(ids, starts)[:, real]), owners[real], ids[real]
-                head = words < size
+                history, own, words = _history(ids, starts)[:, real], owners[real], ids[real]
+                features, head = _rows(history, model.bits), words < size
                 at = np.minimum(words, size - 1)
                 right = model.classes_of(words)
-                values = np.where(head, model.in_class[at], 0.0)
+                values = np.zeros(len(words))
+                values[head] = model.in_class(words[head], right[head], model.contexts_of(history)[:, head])
                 for a in range(0, len(own), MINIBATCH[1]):
                     some = _softmax(model.weights, features[:, a : a + MINIBATCH[1]])
                     values[a : a + MINIBATCH[1]] += some[np.arange(len(some)), right[a : a + MINIBATCH[1]]] / ten
