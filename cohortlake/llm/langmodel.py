@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ CLASSES = 1 + HEAD_CLASSES + TAIL_CLASSES
 CONTEXTS = CLASSES + 1
 #: Rows of the hashed weight table: a power of two from BUCKETS_PER_WORD rows per distinct word, in these bounds.
 BUCKETS_PER_WORD = 4
-BUCKET_BITS = (14, 18)
+BUCKET_BITS = (14, 17)
 #: Gradient steps of a class's words, how far one may go, and what holds rare features back.
 IN_CLASS_STEPS, IN_CLASS_REACH, IN_CLASS_PRIOR = 25, 1.0, 2.0
 STEP = 0.25
@@ -58,6 +59,8 @@ MINIBATCH_SHARE = 8
 FLUSH = 500_000
 #: Weight rows that travel together.
 BLOCK = 512
+#: Tokens to a partition, about: partitions are summed in as many groups as the square root of their number.
+PARTITION_TOKENS = 2_500_000
 
 #: The end mark; no word contains white space.
 END = b"\n"
@@ -243,7 +246,7 @@ def _batched(model: Model, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[
         yield np.concatenate(ids), np.concatenate(starts), np.concatenate(owners), rare
 
 
-_CHANGE = "kind int, block int, rows binary, change binary, touched binary"
+_CHANGE = "kind int, block int, part int, rows binary, change binary, touched binary"
 
 
 def _train_batches(shared):
@@ -252,7 +255,7 @@ def _train_batches(shared):
         weights, bias, size = model.weights.copy(), len(model.weights) - 1, len(model.index)
         squares = np.full(weights.shape, 1e-2, np.float32)
         touched = np.zeros(len(weights), np.int64)
-        follows = np.zeros((2, CONTEXTS * size), np.int64)
+        follows = np.zeros((2, CONTEXTS * size), np.int32)
         pairs = np.zeros(CLASSES * CONTEXTS * CONTEXTS, np.int64)
         columns = np.arange(CLASSES)
         rows = ((0, x) for batch in batches for part in texts(batch.column(0)) for x in part)
@@ -263,7 +266,7 @@ def _train_batches(shared):
             features, classes, (one, two) = _rows(history, model.bits), model.classes_of(words), model.contexts_of(history)
             head = words < size
             for k, context in enumerate((one, two)):
-                follows[k] += np.bincount(context[head] * size + words[head], minlength=follows.shape[1])
+                np.add.at(follows[k], context[head] * size + words[head], 1)
             pairs += np.bincount((classes * CONTEXTS + one) * CONTEXTS + two, minlength=len(pairs))
             at = 0
             while at < len(classes):
@@ -289,29 +292,82 @@ def _train_batches(shared):
                 at += most
         if not seen:
             return
-        row = lambda kind, block, *parts: pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["kind", "block", "rows", "change", "touched"])
+        part = TaskContext.get().partitionId()
         for at in range(0, len(weights), BLOCK):
             own = np.flatnonzero(touched[at : at + BLOCK])
             if len(own):
-                n = touched[at : at + BLOCK][own]
-                yield row(0, at // BLOCK, own.astype(np.int32), ((weights[at + own] - model.weights[at + own]) * n[:, None]).astype(np.float32), n)
+                yield _row(0, at // BLOCK, part, own.astype(np.int32), (weights[at + own] - model.weights[at + own]).astype(np.float16), touched[at + own])
         follows, pairs = follows.reshape(2, CONTEXTS, size), pairs.reshape(CLASSES, CONTEXTS, CONTEXTS)
         for c in range(1 + HEAD_CLASSES):
             words = np.flatnonzero(model.classes == c)
             if len(words) and pairs[c].any():
-                yield row(1, c, follows[0][:, words].astype(np.int32), follows[1][:, words].astype(np.int32), pairs[c].astype(np.int64))
+                yield _row(1, c, part, follows[0][:, words], follows[1][:, words], pairs[c].astype(np.int64))
 
     return run
 
 
-def _averaged(rows: Iterator[tuple[bytes, bytes, bytes]]) -> np.ndarray:
-    """The mean change of a block's rows, weighted by how often they were touched."""
-    change, touched = np.zeros((BLOCK, CLASSES)), np.zeros(BLOCK, np.int64)
-    for own, c, n in rows:
-        own = np.frombuffer(own, np.int32)
-        change[own] += np.frombuffer(c, np.float32).reshape(-1, CLASSES)
-        touched[own] += np.frombuffer(n, np.int64)
-    return (change / np.maximum(touched, 1)[:, None]).astype(np.float32)
+def _row(kind: int, block: int, part: int, *parts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (kind, block, part)), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["kind", "block", "part", "rows", "change", "touched"])
+
+
+def _summed(rows: Iterator[tuple[bytes, bytes, bytes]], kind: int) -> tuple[np.ndarray, ...]:
+    """What some partitions found of a block or class, as one: (rows, mean change, touched) or counts.
+
+    Changes are averaged by how often a row was touched; counts are added up.
+    """
+    if kind == 0:
+        change, touched = np.zeros((BLOCK, CLASSES)), np.zeros(BLOCK, np.int64)
+        for own, c, n in rows:
+            own, n = np.frombuffer(own, np.int32), np.frombuffer(n, np.int64)
+            change[own] += np.frombuffer(c, np.float16).reshape(-1, CLASSES) * n[:, None].astype(np.float64)
+            touched[own] += n
+        own = np.flatnonzero(touched)
+        return own.astype(np.int32), change[own] / touched[own][:, None], touched[own]
+    one, two, pairs = (np.frombuffer(x, t).astype(np.int64) for x, t in zip(next(rows), (np.int32, np.int32, np.int64), strict=True))
+    for a, b, p in rows:
+        one += np.frombuffer(a, np.int32)
+        two += np.frombuffer(b, np.int32)
+        pairs += np.frombuffer(p, np.int64)
+    return one, two, pairs
+
+
+def _grouped(finish):
+    """A grouped Arrow function: reads a group's rows one at a time and yields what ``finish`` makes of their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: list[int] = []
+
+        def rows() -> Iterator[tuple[bytes, bytes, bytes]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    key[:] = (batch.column(k)[i].as_py() for k in range(3))
+                    yield tuple(batch.column(k)[i].as_py() for k in (3, 4, 5))
+
+        every = rows()
+        first = next(every)
+        yield finish(*key, _summed((x for part in ((first,), every) for x in part), key[0]))
+
+    return run
+
+
+def _partial(kind: int, block: int, part: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    a, b, c = found
+    return _row(kind, block, part, a.astype(np.int32), b.astype(np.float16 if kind == 0 else np.int32), c)
+
+
+def _final(shared):
+    def finish(kind: int, block: int, part: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        a, b, c = found
+        if kind == 0:
+            out = np.zeros((BLOCK, CLASSES), np.float32)
+            out[a] = b
+        else:
+            model: Model = shared.value
+            follows = np.stack([a, b]).reshape(2, CONTEXTS, -1).astype(np.float64)
+            out = in_class_weights(model.bias[model.classes == block], follows, c.reshape(CONTEXTS, CONTEXTS).astype(np.float64)).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "found"])
+
+    return finish
 
 
 def in_class_weights(bias: np.ndarray, follows: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -335,37 +391,6 @@ def in_class_weights(bias: np.ndarray, follows: np.ndarray, pairs: np.ndarray) -
     return after
 
 
-def _joined(shared):
-    """Combine what the partitions found: mean changes of a block, or the weights of a class's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = block = None
-        model: Model = shared.value
-
-        def rows() -> Iterator[tuple[bytes, bytes, bytes]]:
-            nonlocal kind, block
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    kind, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                    yield tuple(batch.column(k)[i].as_py() for k in (2, 3, 4))
-
-        every = rows()
-        first = next(every)
-        chained = (x for part in ((first,), every) for x in part)
-        if kind == 0:
-            out = _averaged(chained)
-        else:
-            own = np.flatnonzero(model.classes == block)
-            follows, pairs = np.zeros((2, CONTEXTS, len(own))), np.zeros((CONTEXTS, CONTEXTS))
-            for a, b, p in chained:
-                follows += np.stack([np.frombuffer(x, np.int32).reshape(CONTEXTS, -1) for x in (a, b)])
-                pairs += np.frombuffer(p, np.int64).reshape(CONTEXTS, CONTEXTS)
-            out = in_class_weights(model.bias[own], follows, pairs).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["kind", "block", "found"])
-
-    return run
-
-
 def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     """The most frequent words, at most HEAD_WORDS, and the end mark, by count and word.
 
@@ -375,18 +400,20 @@ def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     """
     step, share = F.floor(16 * F.log2("n")), F.pmod(F.crc32("word"), F.lit(4096))
     steps = sorted(((r.s, r.k) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    room, chosen = HEAD_WORDS, F.col("word") == F.lit(END)
+    room, lowest, upto = HEAD_WORDS, None, -1
     for s, k in steps:
+        lowest = s
         if k > room:
-            shares = sorted((r.h, r.k) for r in counts.filter(step == s).groupBy(share.alias("h")).agg(F.count("*").alias("k")).collect())
             upto = -1
+            shares = sorted((r.h, r.k) for r in counts.filter(step == s).groupBy(share.alias("h")).agg(F.count("*").alias("k")).collect())
             for h, n in shares:
                 if n > room:
                     break
                 room, upto = room - n, h
-            chosen |= (step == s) & (share <= upto)
             break
-        room, chosen = room - k, chosen | (step == s)
+        room, upto = room - k, 4095
+    inside = F.lit(False) if lowest is None else (step > lowest) | (step == lowest) & (share <= upto)
+    chosen = (F.col("word") == F.lit(END)) | inside
     return sorted(((bytes(r.word), r.n) for r in counts.filter(chosen).collect()), key=lambda x: (-x[1], x[0]))
 
 
@@ -407,9 +434,13 @@ def train(train_docs: DataFrame, counts: DataFrame, text_col: str = "text", roun
         every[c] = (every[c][0] - n, every[c][1] - 1)
     model = Model(head, every, size[0], size[1])
     lines = train_docs.select(utf8(text_col).alias("text"))
+    groups = 1 + math.isqrt(size[0] // PARTITION_TOKENS)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        found = lines.mapInArrow(_train_batches(shared), _CHANGE).groupBy("kind", "block").applyInArrow(_joined(shared), "kind int, block int, found binary")
+        # a block's or class's rows meet in two steps, so that no task reads those of all partitions
+        found = lines.mapInArrow(_train_batches(shared), _CHANGE).withColumn("part", F.pmod("part", F.lit(groups)))
+        found = found.groupBy("kind", "block", "part").applyInArrow(_grouped(_partial), _CHANGE)
+        found = found.groupBy("kind", "block").applyInArrow(_grouped(_final(shared)), "kind int, block int, found binary")
         for r in found.toLocalIterator():
             values = np.frombuffer(r.found, np.float32)
             if r.kind == 0:
