@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import unreadable
 from ..functions.tags import canonical, is_private
 from ..plans.cohort import Cohort
 from ..sources.policy import Configuration
@@ -45,59 +46,54 @@ def study_dates(studies: DataFrame) -> DataFrame:
     )
 
 
-def _owners(cohort: Cohort) -> DataFrame:
+def owners(cohort: Cohort) -> DataFrame:
     """Series to patient and whether the study's dates are shifted: no instance columns."""
     return cohort.series.select("series_instance_uid", "study_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id", F.coalesce("date_shifted", F.lit(False)).alias("date_shifted")), "study_instance_uid")
 
 
-def private_tags(cohort: Cohort) -> DataFrame:
-    """One finding per private attribute, the engine's own excepted."""
-    private = F.filter(F.map_keys("attributes"), is_private)
-    found = cohort.instances.select("sop_instance_uid", "series_instance_uid", F.explode(private).alias("t"))
-    return found.join(_owners(cohort), "series_instance_uid").select(
-        *_finding(entity_uid=F.col("sop_instance_uid"), entity_type="Instance", field_name=F.concat(F.lit("Private Tag "), "t"), value="<PRIVATE>", reason="Private Tag Removal Requested", tag=F.col("t"), patient_id=F.col("patient_id"), action_type="REMOVE_TAG", target_attr=F.col("t"))
-    )
-
-
-def policy_tags(cohort: Cohort, config: Configuration) -> DataFrame:
-    """Findings of the tag policy on attributes and on the elements of nested items.
+def attribute_findings(cohort: Cohort, config: Configuration) -> DataFrame:
+    """Findings of private attributes and of the tag policy, on attributes and nested elements.
 
-    The policy is a small configuration; its tags prune each attribute map before it is exploded,
-    and it then joins as a broadcast of as many rows as the configuration has.
+    Each attribute map is pruned to its private tags and the policy's, exploded once and joined once
+    with its series' patient. The policy is a small configuration that stands in the plan as a map.
     """
-    spark = cohort.instances.sparkSession
-    known = F.array(*(F.lit(t) for t in config.phi_tags))
-    wanted = F.map_filter("attributes", lambda k, v: F.array_contains(known, F.lower(k)) & v.isNotNull())
-    direct = cohort.instances.select("sop_instance_uid", "series_instance_uid", F.explode(wanted).alias("own_tag", "value"), F.lit(None).cast("string").alias("item_path"))
-    rows = direct
-    if cohort.seq_items is not None:
-        nested = cohort.seq_items.filter(canonical("tag").isin(list(config.phi_tags)) & F.col("value").isNotNull())
+    policy = config.phi_tags
+    texts = lambda f: F.create_map(*(F.lit(x) for t, p in policy.items() for x in (t, f(p))), *([] if policy else [F.lit(""), F.lit(None).cast("string")]))
+    listed = lambda k: F.lower(k).isin(list(policy)) if policy else F.lit(False)
+    private = (lambda k: is_private(k)) if config.remove_private_tags else lambda k: F.lit(False)
+    # a private tag is one finding, and one more if the policy names it too
+    kinds = lambda k, v: F.filter(F.array(F.when(private(k), "private"), F.when(listed(k) & v.isNotNull(), "policy")), lambda x: x.isNotNull())
+    entries = F.flatten(F.transform(F.map_entries(F.map_filter("attributes", lambda k, v: private(k) | (listed(k) & v.isNotNull()))), lambda e: F.transform(kinds(e.key, e.value), lambda kind: F.struct(e.key.alias("own_tag"), e.value.alias("value"), kind.alias("kind")))))
+    rows = cohort.instances.select("sop_instance_uid", "series_instance_uid", F.explode(entries).alias("e")).select("sop_instance_uid", "series_instance_uid", "e.*", F.lit(None).cast("string").alias("item_path"))
+    if cohort.seq_items is not None and policy:
+        nested = cohort.seq_items.filter(canonical("tag").isin(list(policy)) & F.col("value").isNotNull())
         home = cohort.instances.select("sop_instance_uid", "series_instance_uid")
-        rows = direct.unionByName(nested.join(home, "sop_instance_uid").select("sop_instance_uid", "series_instance_uid", F.col("tag").alias("own_tag"), "value", "item_path"))
-    policy = F.broadcast(config.policy_frame(spark))
-    met = rows.join(policy, F.lower("own_tag") == policy.tag).join(_owners(cohort), "series_instance_uid")
-    action, value = F.col("action"), F.col("value")
-    replacement = F.coalesce("replacement", F.lit(NAME_REPLACEMENT))
+        rows = rows.unionByName(nested.join(home, "sop_instance_uid").select("sop_instance_uid", "series_instance_uid", F.col("tag").alias("own_tag"), "value", F.lit("policy").alias("kind"), "item_path"))
+    tag = F.lower("own_tag")
+    met = rows.join(owners(cohort), "series_instance_uid").withColumns({"tag": tag, "name": texts(lambda p: p.name)[tag], "action": texts(lambda p: p.action)[tag], "replacement": texts(lambda p: p.replacement if p.replacement is not None else NAME_REPLACEMENT)[tag]})
+    action, value, of_policy = F.col("action"), F.col("value"), F.col("kind") == "policy"
     needed = (
-        F.when(action == "REMOVE", F.lit("REMOVE_TAG"))
+        F.when(~of_policy, F.lit("REMOVE_TAG"))
+        .when(action == "REMOVE", F.lit("REMOVE_TAG"))
         .when((action == "EMPTY") & (value != ""), F.lit("REPLACE_TAG"))
-        .when(action.isin("SHIFT", "JITTER") & ~F.col("date_shifted"), F.lit("SHIFT_DATE"))
-        .when((action == "REPLACE") & (value != "") & (value != replacement), F.lit("REPLACE_TAG"))
+        .when(action.isin("SHIFT", "JITTER") & (~F.col("date_shifted") | unreadable(value)), F.lit("SHIFT_DATE"))
+        .when((action == "REPLACE") & (value != "") & (value != F.col("replacement")), F.lit("REPLACE_TAG"))
     )
-    new = F.when(action == "EMPTY", "").when(action == "REPLACE", replacement)
+    new = F.when(of_policy & (action == "EMPTY"), "").when(of_policy & (action == "REPLACE"), F.col("replacement"))
     deep = F.when(F.col("item_path").isNotNull(), F.concat("name", F.lit(" (Deep)"))).otherwise(F.col("name"))
+    either = lambda a, b: F.when(of_policy, a).otherwise(b)
+    # The reasons as they are reported.
+    reason = either(F.concat(F.lit("Matched PHI Tag "), "tag", F.lit(" ("), "name", F.lit(")")), F.lit("Private Tag Removal Requested"))
     return met.withColumn("needed", needed).filter("needed is not null").select(
-        *_finding(entity_uid=F.col("sop_instance_uid"), entity_type="Instance", field_name=deep, value=value, reason=F.concat(F.lit("Matched PHI Tag "), "tag", F.lit(" ("), "name", F.lit(")")), tag=F.col("tag"), patient_id=F.col("patient_id"), action_type=F.col("needed"), target_attr=F.col("own_tag"), new_value=new, item_path=F.col("item_path"))
+        *_finding(entity_uid=F.col("sop_instance_uid"), entity_type="Instance", field_name=either(deep, F.concat(F.lit("Private Tag "), "own_tag")), value=either(value, F.lit("<PRIVATE>")), reason=reason, tag=either(F.col("tag"), F.col("own_tag")), patient_id=F.col("patient_id"), action_type=F.col("needed"), target_attr=F.col("own_tag"), new_value=new, item_path=F.col("item_path"))
     )
 
 
 def audit(cohort: Cohort, config: Configuration) -> DataFrame:
     """All findings. An empty policy still audits names, ids, study dates and private tags."""
     parts = [patient_names(cohort.patients), patient_ids(cohort.patients), study_dates(cohort.studies)]
-    if config.remove_private_tags:
-        parts.append(private_tags(cohort))
-    if config.phi_tags:
-        parts.append(policy_tags(cohort, config))
+    if config.remove_private_tags or config.phi_tags:
+        parts.append(attribute_findings(cohort, config))
     return reduce(DataFrame.unionByName, parts)
 
 

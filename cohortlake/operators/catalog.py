@@ -1,14 +1,20 @@
 """Versioned snapshots: upserts, private attributes as rows, logs and compaction.
 
-A table is a folder of versions; a small pointer file names the one in force. Writers make the next
-version and then swap the pointer, so readers always see a whole one. One writer at a time.
+A version of a table is a small file that lists the Parquet files it is made of. Appending writes new
+files and a new list; an update rewrites only the files that hold a changed row. The list is put in
+place by a rename, so readers always see a whole version. One writer at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from ..functions.tags import is_private
 
 
@@ -28,6 +34,16 @@ def from_eav(eav: DataFrame) -> DataFrame:
     return entries.groupBy("sop_instance_uid").agg(F.map_from_entries(F.collect_list("e")).alias("attributes"))
 
 
+def attributes_to_json(attributes: Column) -> Column:
+    """An attribute map as one JSON object, in the map's order."""
+    return F.to_json(attributes)
+
+
+def attributes_from_json(text: Column) -> Column:
+    """The attribute map of a JSON object; null where the text is none."""
+    return F.from_json(text, "map<string,string>")
+
+
 def replace_eav(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows but for the elements that come anew, and the new rows."""
     keys = ["sop_instance_uid", "group_id", "element_id"]
@@ -59,9 +75,10 @@ def update_attributes(instances: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def new_frames(frames: DataFrame, stored: DataFrame) -> DataFrame:
-    """Frames whose pixels aren't stored yet, one row per hash."""
-    hashed = frames.withColumn("pixel_hash", F.sha2("pixels", 256)).dropDuplicates(["pixel_hash"])
-    return hashed.join(stored.select("pixel_hash").distinct(), "pixel_hash", "left_anti")
+    """Frames whose pixels aren't stored yet, one row per hash: that of the smallest uid."""
+    hashed = frames.withColumn("pixel_hash", F.sha2("pixels", 256))
+    first = hashed.groupBy("pixel_hash").agg(F.min("sop_instance_uid").alias("sop_instance_uid"))
+    return hashed.join(first, ["pixel_hash", "sop_instance_uid"], "left_semi").join(stored.select("pixel_hash").distinct(), "pixel_hash", "left_anti")
 
 
 def live_frames(frames: DataFrame, instances: DataFrame) -> DataFrame:
@@ -69,54 +86,116 @@ def live_frames(frames: DataFrame, instances: DataFrame) -> DataFrame:
     return frames.join(instances.select("sop_instance_uid").distinct(), "sop_instance_uid", "left_semi")
 
 
+def is_intact() -> Column:
+    """Whether a frame's pixels still have their hash."""
+    return F.sha2("pixels", 256) == F.col("pixel_hash")
+
+
 def intact(frames: DataFrame) -> DataFrame:
-    """Frames whose pixels still have their hash."""
-    return frames.filter(F.sha2("pixels", 256) == F.col("pixel_hash"))
+    return frames.filter(is_intact())
 
 
 class Catalog:
-    """Tables under one folder that Spark can read and write; no file is opened but by Spark."""
+    """Tables under one folder that Spark can read and write; no file is opened but by Spark and its file system."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
     def versions(self, name: str) -> list[int]:
-        fs, at = self._fs(f"{self.folder}/{name}")
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{n}/_SUCCESS")))
+        return sorted(int(n[1:-5]) for n in self._names(f"{self.folder}/{name}/versions") if n.startswith("v") and n.endswith(".json"))
 
     def exists(self, name: str) -> bool:
         return bool(self.versions(name))
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def _listed(self, name: str, version: int | None = None) -> dict:
         found = self.versions(name)
         if not found:
             raise FileNotFoundError(f"no table {name} in {self.folder}")
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{version or found[-1]}")
+        return json.loads(self.spark.read.text(f"{self.folder}/{name}/versions/v{version or found[-1]}.json", wholetext=True).first()[0])
+
+    def _frame(self, name: str, schema: dict, files: list[str]) -> DataFrame:
+        kind = StructType.fromJson(schema)
+        if not files:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*(f"{self.folder}/{name}/data/{f}" for f in files))
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        listed = self._listed(name, version)
+        return self._frame(name, listed["schema"], listed["files"])
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """The next version; it counts once Spark has marked it complete."""
+    def _written(self, name: str, df: DataFrame) -> tuple[int, list[str]]:
+        """(version to be, its new files)"""
         version = (self.versions(name) or [0])[-1] + 1
-        df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.folder}/{name}/v{version}")
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/data/{version}")
+        return version, [f"{version}/{n}" for n in sorted(self._names(f"{self.folder}/{name}/data/{version}")) if n.endswith(".parquet")]
+
+    def _commit(self, name: str, version: int, schema: dict, files: list[str], tags: list[str]) -> int:
+        target = f"{self.folder}/{name}/versions/v{version}.json"
+        fs, at = self._fs(f"{target}.new")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps({"schema": schema, "files": files, "tags": tags}).encode()))
+        out.close()
+        if not fs.rename(at, self._fs(target)[1]):
+            raise OSError(f"version {version} of {name} exists already")
         return version
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Rows of a log: further files of its first version."""
-        df.write.mode("append").parquet(f"{self.folder}/{name}/v1")
+    def write(self, name: str, df: DataFrame) -> int:
+        """A version made of new files only."""
+        version, files = self._written(name, df)
+        return self._commit(name, version, df.schema.jsonValue(), files, [])
+
+    def append(self, name: str, df: DataFrame, tag: str | None = None) -> int:
+        """The files of the last version and new ones; rows under a tag that is there already are left out."""
+        if not self.exists(name):
+            version, files = self._written(name, df)
+            return self._commit(name, version, df.schema.jsonValue(), files, [tag] if tag else [])
+        old = self._listed(name)
+        if tag in old["tags"]:
+            return self.versions(name)[-1]
+        version, files = self._written(name, df.select(*(f["name"] for f in old["schema"]["fields"])))
+        return self._commit(name, version, old["schema"], old["files"] + files, old["tags"] + ([tag] if tag else []))
+
+    def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Rewrite the files that hold a key of ``keys`` (one column, named as in the table) by ``change``.
+
+        Files without such a key stay as they are; the driver gets the names of the others.
+        """
+        old, (key,) = self._listed(name), keys.columns
+        rows = self._frame(name, old["schema"], old["files"])
+        if not old["files"]:
+            return self.versions(name)[-1]
+        hit = rows.select(key, F.col("_metadata.file_path").alias("_file")).join(keys.distinct(), key, "left_semi").select("_file").distinct().collect()
+        touched = {"/".join(r["_file"].split("/")[-2:]) for r in hit}
+        if not touched:
+            return self.versions(name)[-1]
+        changed = change(self._frame(name, old["schema"], sorted(touched)))
+        version, files = self._written(name, changed.select(*(f["name"] for f in old["schema"]["fields"])))
+        return self._commit(name, version, old["schema"], [f for f in old["files"] if f not in touched] + files, old["tags"])
+
+    def drop(self, name: str) -> None:
+        fs, at = self._fs(f"{self.folder}/{name}")
+        fs.delete(at, True)
 
     def vacuum(self, name: str, keep: int = 1) -> list[int]:
-        """Delete all but the last versions; returns those that went."""
-        gone = self.versions(name)[:-keep]
+        """Delete all but the last versions, and the files that none of those has; returns the versions that went."""
+        found = self.versions(name)
+        gone, kept = found[:-keep], found[-keep:]
+        live = {f for v in kept for f in self._listed(name, v)["files"]}
+        for version in gone:
+            for f in {*self._listed(name, version)["files"]} - live:
+                fs, at = self._fs(f"{self.folder}/{name}/data/{f}")
+                fs.delete(at, False)
         for version in gone:
-            fs, at = self._fs(f"{self.folder}/{name}/v{version}")
-            fs.delete(at, True)
+            fs, at = self._fs(f"{self.folder}/{name}/versions/v{version}.json")
+            fs.delete(at, False)
         return gone
 
     def compact(self) -> int:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD_X, PAD_Y = 20, 10
@@ -96,7 +99,7 @@ def zones(clustered: DataFrame, n_sources: int, min_occurrence: float = MIN_OCCU
     merged = clustered.groupBy(by, "cluster").agg(
         F.min("y").alias("r1"), F.max(F.col("y") + F.col("h")).alias("r2"), F.min("x").alias("c1"), F.max(F.col("x") + F.col("w")).alias("c2"),
         (F.countDistinct("source_index") / F.lit(n_sources)).alias("occurrence"),
-        F.when(kind("NAME_PATTERN"), "NAME_PATTERN").when(noun, "PROPER_NOUN").otherwise("TEXT").alias("type"),
+        F.when(kind("NAME_PATTERN"), "LIKELY_NAME").when(noun, "PROPER_NOUN").otherwise("TEXT").alias("type"),
         F.slice(F.array_sort(F.collect_set("text")), 1, 3).alias("examples"),
         F.avg("confidence").alias("confidence"),
     )
@@ -121,6 +124,22 @@ def confident(regions: DataFrame, least: float = 80.0) -> DataFrame:
     return regions.filter((F.length(F.trim("text")) > 0) & (F.col("confidence") > 0) & (F.col("confidence") >= least))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first in ``order``."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
+def filtered(candidates: DataFrame, predicate: float | Column = 0.0) -> DataFrame:
+    """Candidates of at least some confidence, or those that a condition holds for."""
+    return candidates.filter(predicate if isinstance(predicate, Column) else F.col("confidence") >= predicate)
+
+
+def named_entities(candidates: DataFrame, factory: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """``candidates`` with PROPER_NOUN where a recogniser finds a person or organisation in a text.
+
+    ``factory`` makes the recogniser, once per Python worker; name patterns stay what they are.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finds = factory()
+        for batch in batches:
+            yield pa.array([bool(t and t.strip() and finds(t.strip())) for t in batch.to_pylist()])
+
+    hit = F.arrow_udf(run, "boolean").asNondeterministic()("text")
+    marked = candidates.withColumn("_entity", hit)
+    return marked.withColumn("classification", F.when((F.col("classification") != "NAME_PATTERN") & F.col("_entity"), "PROPER_NOUN").otherwise(F.col("classification"))).drop("_entity")

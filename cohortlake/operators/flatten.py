@@ -77,46 +77,55 @@ def subset_frame(report: DataFrame, chosen: DataFrame) -> DataFrame:
 def subset_ids(report: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the report with any of their four ids in the one column of ``ids``.
 
-    An equi semi join on the exploded ids replaces a four-way OR.
+    The three wider ids are looked up once per series; of the instances, only those of other series
+    are looked up by their own.
     """
-    wanted = ids.select(F.col(ids.columns[0]).alias("id"))
-    own = report.select("SOPInstanceUID", F.explode(F.array(*LEVELS)).alias("id"))
-    return report.join(own.join(wanted, "id", "left_semi").select("SOPInstanceUID").distinct(), "SOPInstanceUID", "left_semi")
+    wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    wide = report.select("SeriesInstanceUID", "StudyInstanceUID", "PatientID").distinct()
+    chosen = wide.select("SeriesInstanceUID", F.explode(F.array("SeriesInstanceUID", "StudyInstanceUID", "PatientID")).alias("id")).join(wanted, "id", "left_semi").select("SeriesInstanceUID").distinct()
+    rest = report.join(chosen, "SeriesInstanceUID", "left_anti").join(wanted, F.col("SOPInstanceUID") == F.col("id"), "left_semi")
+    return report.join(chosen, "SeriesInstanceUID", "left_semi").select(*report.columns).unionByName(rest.select(*report.columns))
 
 
-def safe_export(flat: DataFrame, findings: DataFrame) -> DataFrame:
-    """Instances of the flattened cohort without a finding on them or any ancestor.
-
-    One anti join per level: each one's keys are of that level alone, so no ids are exploded.
-    """
+def safe_cohort(cohort: Cohort, findings: DataFrame) -> Cohort:
+    """The cohort without rows that have a finding: each level's table meets its own ids, before any fan-out."""
     dirty = findings.select("entity_uid").filter("entity_uid is not null").distinct()
-    for level in reversed(LEVELS.values()):
-        flat = flat.join(dirty, flat[level] == dirty.entity_uid, "left_anti")
-    return flat
+    clean = lambda df, key: df.join(dirty, F.col(key) == F.col("entity_uid"), "left_anti")
+    return cohort.map(
+        patients=lambda df: clean(df, "patient_id"), studies=lambda df: clean(df, "study_instance_uid"),
+        series=lambda df: clean(df, "series_instance_uid"), instances=lambda df: clean(df, "sop_instance_uid"),
+    )
+
+
+def safe_export(cohort: Cohort, findings: DataFrame, patient_ids: list[str] | None = None) -> DataFrame:
+    """Flattened instances without a finding on them or any ancestor."""
+    return flatten(safe_cohort(cohort, findings), patient_ids)
 
 
 def export_paths(cohort: Cohort, folder: str = "") -> DataFrame:
     """(sop_instance_uid, path): Subject/Study/Series/instance.dcm.
 
-    Descriptions are those of the first instance, by uid, of the study and series.
+    Descriptions are those of the first instance, by uid, of the study and series. Instances are
+    gathered once per series; studies and names are worked out on one row per series.
     """
-    flat = flatten(cohort)
-    first = lambda tag, uid: F.min_by(F.col("attributes")[tag], F.col(uid))
-    study = flat.groupBy("study_instance_uid").agg(first("0008,1030", "sop_instance_uid").alias("study_description"))
-    series = flat.groupBy("series_instance_uid").agg(first("0008,103e", "sop_instance_uid").alias("series_description"))
-    named = flat.join(study, "study_instance_uid").join(series, "series_instance_uid")
-    path = F.concat_ws(
+    tag = lambda t: F.col("attributes")[t]
+    first = cohort.instances.groupBy("series_instance_uid").agg(
+        F.min("sop_instance_uid").alias("first_uid"), F.min_by(tag("0008,1030"), "sop_instance_uid").alias("first_study"), F.min_by(tag("0008,103e"), "sop_instance_uid").alias("series_description")
+    )
+    series = cohort.series.join(first, "series_instance_uid")
+    study = series.groupBy("study_instance_uid").agg(F.min_by("first_study", "first_uid").alias("study_description"))
+    named = series.join(study, "study_instance_uid").join(cohort.studies, "study_instance_uid").join(cohort.patients.select("patient_id"), "patient_id")
+    start = F.concat_ws(
         "/",
         naming.subject_folder(F.col("patient_id")),
         naming.study_folder(F.col("study_date"), F.col("study_description"), F.col("study_instance_uid")),
         naming.series_folder(F.col("series_number"), F.col("modality"), F.col("series_description"), F.col("series_instance_uid")),
-        F.concat(F.col("sop_instance_uid"), F.lit(".dcm")),
     )
-    return named.select("sop_instance_uid", (F.concat(F.lit(folder.rstrip("/") + "/"), path) if folder else path).alias("path"))
+    start = F.concat(F.lit(folder.rstrip("/") + "/"), start) if folder else start
+    path = F.concat("start", F.lit("/"), "sop_instance_uid", F.lit(".dcm"))
+    return cohort.instances.select("sop_instance_uid", "series_instance_uid").join(named.select("series_instance_uid", start.alias("start")), "series_instance_uid").select("sop_instance_uid", path.alias("path"))
 
 
 def findings_rows(findings: DataFrame) -> DataFrame:
     """The eight report columns of findings, values as text."""
     return findings.select("patient_id", "entity_type", "entity_uid", F.col("field_name").alias("field"), F.col("value").cast("string").alias("value"), "reason", F.col("action_type").alias("action"), F.col("new_value").alias("proposed_value"))
-
-

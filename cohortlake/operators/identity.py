@@ -69,9 +69,9 @@ def decrypt(df: DataFrame, column: str, key: str, out: str) -> DataFrame:
     return split.withColumn(out, plain.cast("string")).drop("_ipad", "_opad", "_aes", "_raw")
 
 
-def tokens(cohort: Cohort, key: str, patient_ids: list[str] | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> DataFrame:
+def tokens(cohort: Cohort, key: str, patient_ids: DataFrame | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> DataFrame:
     """(patient_id, token): each patient's attributes, of the first instance by uid, encrypted once."""
-    patients = cohort.patients.filter(F.col("patient_id").isin(patient_ids)) if patient_ids is not None else cohort.patients
+    patients = cohort.patients.join(patient_ids.select("patient_id").distinct(), "patient_id", "left_semi") if patient_ids is not None else cohort.patients
     owned = cohort.instances.join(cohort.series.select("series_instance_uid", "study_instance_uid"), "series_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid")
     wanted = F.map_filter("attributes", lambda k, v: k.isin(*tags) & ~k.isin("0010,0010", "0010,0020"))
     first = owned.groupBy("patient_id").agg(F.min_by(wanted, "sop_instance_uid").alias("rest"))
@@ -79,7 +79,7 @@ def tokens(cohort: Cohort, key: str, patient_ids: list[str] | None = None, tags:
     return encrypt(patients.join(first, "patient_id").withColumn("_content", content), "_content", key, "token").select("patient_id", "token")
 
 
-def lock(cohort: Cohort, key: str, patient_ids: list[str] | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> Cohort:
+def lock(cohort: Cohort, key: str, patient_ids: DataFrame | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> Cohort:
     """Every instance of the patients carries the patient's token, whichever it had before."""
     made = tokens(cohort, key, patient_ids, tags)
     by_series = cohort.series.select("series_instance_uid", "study_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid").join(made, "patient_id").select("series_instance_uid", "token")

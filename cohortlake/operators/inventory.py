@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tags import is_burned_in, is_derived
+from ..functions.tags import BURNED_IN, is_burned_in, is_derived
 from ..plans.cohort import Cohort
 
 MACHINE = ("manufacturer", "model_name", "device_serial_number")
@@ -64,3 +64,13 @@ def compliance(log: DataFrame) -> DataFrame:
 def manifest_totals(items: DataFrame) -> DataFrame:
     """(n_items, total_bytes) of rows with a size."""
     return items.agg(F.count("*").alias("n_items"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"))
+
+
+def export_summary(results: DataFrame) -> DataFrame:
+    """(n, n_ok, n_failed, first_error) of exported (path, error) rows."""
+    return results.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("n_ok"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.min("error").alias("first_error"))
+
+
+def exactly_burned_in(cohort: Cohort) -> DataFrame:
+    """Instances whose flag is spelled YES and nothing else."""
+    return cohort.instances.filter(F.col("attributes")[BURNED_IN] == "YES").select("sop_instance_uid", "file_path")

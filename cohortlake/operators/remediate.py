@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import shift_date, shift_days, shift_text
-from ..functions.tags import BURNED_IN, IMAGE_TYPE
+from ..functions.dates import shift_date, shift_days, shift_text, unreadable
+from ..functions.tags import BURNED_IN, IMAGE_TYPE, canonical, is_private
 from ..plans.cohort import Cohort
 from ..sources.policy import Configuration
+from .audit import NAME_REPLACEMENT, PSEUDONYM, owners, pseudonym
 
 DEID_METHOD, DEID_METHOD_CODES = "0012,0063", "0012,0064"
 DERIVATION, DERIVATION_CODES = "0008,2111", "0008,9215"
@@ -29,7 +30,7 @@ def _edits(findings: DataFrame) -> DataFrame:
     """Per instance: the tags to remove, to replace (a map) and to shift."""
     tags = lambda action: F.collect_set(F.when(F.col("action_type") == action, F.col("target_attr")))
     new = F.map_from_entries(F.collect_list(F.when(F.col("action_type") == "REPLACE_TAG", F.struct("target_attr", "new_value"))))
-    direct = findings.filter("entity_type = 'Instance' and item_path is null and action_type is not null").dropDuplicates(["entity_uid", "target_attr"])
+    direct = first_of_each(findings.filter("entity_type = 'Instance' and item_path is null and action_type is not null"), ("entity_uid", "target_attr"), ("action_type", "field_name", "new_value"))
     return direct.groupBy("entity_uid").agg(tags("REMOVE_TAG").alias("_remove"), new.alias("_replace"), tags("SHIFT_DATE").alias("_shift"), F.first("patient_id").alias("_patient"))
 
 
@@ -69,16 +70,67 @@ def _edited(low: int, high: int) -> Column:
 
 
 def _nested(items: DataFrame, proposed: DataFrame, low: int, high: int) -> DataFrame:
-    deep = proposed.filter("item_path is not null").dropDuplicates(["entity_uid", "item_path", "target_attr"]).select(F.col("entity_uid").alias("_uid"), F.col("item_path").alias("_path"), F.col("target_attr").alias("_tag"), F.col("action_type").alias("_do"), F.col("new_value").alias("_new"), F.col("patient_id").alias("_patient"))
+    deep = first_of_each(proposed.filter("item_path is not null"), ("entity_uid", "item_path", "target_attr"), ("action_type", "field_name", "new_value")).select(F.col("entity_uid").alias("_uid"), F.col("item_path").alias("_path"), F.col("target_attr").alias("_tag"), F.col("action_type").alias("_do"), F.col("new_value").alias("_new"), F.col("patient_id").alias("_patient"))
     met = items.join(deep, (items.sop_instance_uid == deep._uid) & (items.item_path == deep._path) & (items.tag == deep._tag), "left")
     value = F.when(F.col("_do") == "REPLACE_TAG", F.col("_new")).when(F.col("_do") == "SHIFT_DATE", F.coalesce(shift_text(F.col("value"), shift_days(F.col("_patient"), low, high)), "value")).otherwise(F.col("value"))
     return met.filter("_do is null or _do <> 'REMOVE_TAG'").withColumn("value", value).select(items.columns)
 
 
+def apply_policy(cohort: Cohort, config: Configuration) -> Cohort:
+    """The cohort as remediating all findings of its audit leaves it, without listing a finding.
+
+    Names, ids, dates and attributes change where they stand; the policy is part of the plan. Only
+    if it shifts dates do instances meet their series' patient, in one join.
+    """
+    low, high = config.date_jitter
+    pid, name = F.col("patient_id"), F.col("patient_name")
+    new_id = F.when((pid != "") & (pid != "UNKNOWN") & ~pid.startswith(PSEUDONYM), pseudonym(pid)).otherwise(pid)
+    new_name = F.when((name != "") & ~name.isin("Unknown", NAME_REPLACEMENT), NAME_REPLACEMENT).otherwise(name)
+    was = F.coalesce("date_shifted", F.lit(False))
+    moved = F.when(F.col("study_date").isNotNull() & ~was, shift_date(F.col("study_date"), shift_days(pid, low, high))).otherwise(F.col("study_date"))
+    patients = cohort.patients.select(new_id.alias("patient_id"), new_name.alias("patient_name"))
+    studies = cohort.studies.withColumns({"study_date": moved, "date_shifted": was | F.col("study_date").isNotNull(), "patient_id": new_id}).select(cohort.studies.columns)
+
+    of = lambda *actions: [t for t, p in config.phi_tags.items() if p.action in actions]
+    inside = lambda k, tags: canonical(k).isin(tags) if tags else F.lit(False)
+    removed = lambda k: inside(k, of("REMOVE")) | (is_private(k) if config.remove_private_tags else F.lit(False))
+    by_text: dict[str, list[str]] = {}
+    for tag in of("REPLACE"):
+        given = config.phi_tags[tag].replacement
+        by_text.setdefault(NAME_REPLACEMENT if given is None else given, []).append(tag)
+
+    def new_value(k: Column, v: Column) -> Column:
+        out = F.when(v.isNull() | (v == ""), v).when(inside(k, of("EMPTY")), "")
+        for text, tags in by_text.items():
+            out = out.when(inside(k, tags), text)
+        if of("SHIFT", "JITTER"):
+            out = out.when(inside(k, of("SHIFT", "JITTER")) & F.col("_days").isNotNull(), F.coalesce(shift_text(v, F.col("_days")), v))
+        return out.otherwise(v)
+
+    instances, items = cohort.instances, cohort.seq_items
+    if of("SHIFT", "JITTER"):
+        days = owners(cohort).filter("not date_shifted").select("series_instance_uid", shift_days(pid, low, high).alias("_days"))
+        instances = instances.join(days, "series_instance_uid", "left")
+        items = items.join(instances.select("sop_instance_uid", "_days"), "sop_instance_uid", "left") if items is not None else None
+    kept = F.map_filter("attributes", lambda k, v: ~removed(k))
+    instances = instances.withColumn("attributes", F.transform_values(kept, new_value)).select(cohort.instances.columns)
+    out = replace(cohort, patients=patients, studies=studies, instances=instances)
+    if items is None:
+        return out
+    left = items.filter(~(inside(F.col("tag"), of("REMOVE")) & F.col("value").isNotNull()))
+    return replace(out, seq_items=left.withColumn("value", new_value(F.col("tag"), F.col("value"))).select(cohort.seq_items.columns))
+
+
 def log_rows(findings: DataFrame) -> DataFrame:
-    """Audit-log rows of the proposals that are carried out; no values of patients in them."""
+    """Audit-log rows of the proposals; no values of patients in them.
+
+    A date that no shift can move stays, and is a warning instead of a remediation.
+    """
     kinds = F.create_map(*(F.lit(x) for pair in (("REPLACE_TAG", "REMEDIATION_REPLACE"), ("REMOVE_TAG", "REMEDIATION_REMOVE"), ("SHIFT_DATE", "REMEDIATION_SHIFT_DATE")) for x in pair))
-    return first_of_each(findings.filter("action_type is not null")).select(kinds[F.col("action_type")].alias("action_type"), "entity_uid", F.concat_ws(" ", F.lit("tag"), "target_attr").alias("details"))
+    stays = (F.col("action_type") == "SHIFT_DATE") & (F.col("entity_type") == "Instance") & unreadable(F.col("value"))
+    return first_of_each(findings.filter("action_type is not null")).select(
+        F.when(stays, "WARNING").otherwise(kinds[F.col("action_type")]).alias("action_type"), "entity_uid", F.concat_ws(" ", F.when(stays, "date not shifted:"), F.lit("tag"), "target_attr").alias("details")
+    )
 
 
 def stamp_deidentified(attributes: Column, method: str) -> Column:

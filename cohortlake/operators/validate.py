@@ -34,4 +34,5 @@ def invalid(instances: DataFrame) -> DataFrame:
 
 
 def lacks_pixels(modality: Column, pixels: Column) -> Column:
+    """Whether an image has no pixels; other kinds of documents need none."""
     return modality.isin(*IMAGE_MODALITIES) & pixels.isNull()

@@ -7,6 +7,7 @@ zones at the edge, so one convention holds everywhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,20 @@ def mark_redacted(instances: DataFrame, frames: DataFrame) -> DataFrame:
     }).drop("_hit")
 
 
+def rekeyed(table: DataFrame, changed: DataFrame) -> DataFrame:
+    """A table whose rows carry an instance's uid, with the new uids of ``changed`` (original_uid, sop_instance_uid)."""
+    new = changed.select(F.col("original_uid").alias("_old"), F.col("sop_instance_uid").alias("_new"))
+    met = table.join(new, F.col("sop_instance_uid") == F.col("_old"), "left")
+    return met.withColumn("sop_instance_uid", F.coalesce("_new", "sop_instance_uid")).select(table.columns)
+
+
+def mark_changed(cohort: Cohort, changed: DataFrame) -> Cohort:
+    """The cohort after its pixels changed: stamps and new uids on the instances, and the uids of all that hangs on them."""
+    hit = changed.select(F.col("original_uid").alias("sop_instance_uid"), F.lit(True).alias("redacted"))
+    instances = mark_redacted(cohort.instances, hit).select(cohort.instances.columns)
+    return replace(cohort, instances=instances, seq_items=rekeyed(cohort.seq_items, changed) if cohort.seq_items is not None else None)
+
+
 def risk_rows(instances: DataFrame) -> DataFrame:
     """Audit-log rows for burned-in flags that were left untreated."""
     return instances.filter(is_burned_in(F.col("attributes"))).select(F.lit("RISK").alias("action_type"), F.col("sop_instance_uid").alias("entity_uid"), F.lit("burned-in annotation not treated").alias("details"))

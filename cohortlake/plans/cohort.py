@@ -104,3 +104,12 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Cohort:
         line_attributes().alias("attributes"),
     )
     return Cohort(patients, studies, series, instances)
+
+
+def with_items(spark: SparkSession, sf_dir: str) -> Cohort:
+    """The same cohort with nested items: a name and a code in each fourth line's instance."""
+    lines = _read(spark, sf_dir, "lineitem").filter("l_linenumber % 4 = 0")
+    name, code = F.concat(F.lit("Doe^"), F.col("l_suppkey").cast("string")), F.col("l_returnflag")
+    rows = F.array(*(F.struct(F.lit(path).alias("item_path"), F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), value.alias("value")) for path, tag, vr, value in (("0040,a730[0]", "0010,0010", "PN", name), ("0040,a730[1].0008,1140[0]", "0008,0104", "LO", code), ("0040,a730[1]", "0040,a043", "CS", code))))
+    items = lines.select(sop_uid().alias("sop_instance_uid"), F.explode(rows).alias("i")).select("sop_instance_uid", "i.*")
+    return replace(from_tables(spark, sf_dir), seq_items=items)

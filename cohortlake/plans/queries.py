@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, naming
 from ..functions.tags import is_private
-from ..operators import audit, catalog, discover, flatten, inventory, remediate, validate, zones
+from ..operators import audit, catalog, discover, flatten, identity, inventory, remediate, report, validate, zones
+from ..sources import dicom
 from ..sources.policy import Configuration, TagPolicy
+from ..streaming import windows
 from . import cohort as model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,7 +137,7 @@ def safe_export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("entity_uid")))
         .unionByName(lineitem.filter("l_tax > 0.07").select(model.sop_uid().alias("entity_uid")))
     )
-    return flatten.safe_export(flatten.flatten(model.from_tables(spark, sf_dir)), dirty).select(F.col("sop_instance_uid").alias("uid"))
+    return flatten.safe_export(model.from_tables(spark, sf_dir), dirty).select(F.col("sop_instance_uid").alias("uid"))
 
 
 @query(
@@ -246,15 +248,17 @@ _DAYS = f"CAST({SHIFT_SQL.format(p='CAST(o_custkey AS VARCHAR)')} AS INT)"
 
 
 @query(
-    f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {_DAYS} AS n, o_orderkey % 7 AS k FROM orders),
-t AS (SELECT o_orderkey, k, strftime(d, '%Y%m%d') AS c, strftime(d, '%Y-%m-%d') AS i, strftime(d + n, '%Y%m%d') AS c2, strftime(d + n, '%Y-%m-%d') AS i2,
-    ['', '', '104822', '.104822', '.104822.677', 'T10:48:22', ''][k + 1] AS rest FROM d)
-SELECT o_orderkey, CASE WHEN k = 6 THEN 'NotADate' WHEN k IN (1, 5) THEN i || rest ELSE c || rest END AS raw, CASE WHEN k = 6 THEN NULL WHEN k IN (1, 5) THEN i2 || rest ELSE c2 || rest END AS shifted FROM t"""
+    f"""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {_DAYS} AS n, o_orderkey % 13 AS k FROM orders),
+t AS (SELECT o_orderkey, k, strftime(d, '%Y%m%d') AS c, strftime(d, '%Y-%m-%d') AS i, strftime(d + n, '%Y%m%d') AS c2, strftime(d + n, '%Y-%m-%d') AS i2, strftime(d, '%Y%m') AS m, strftime(date_trunc('month', d)::DATE + n, '%Y%m') AS m2,
+    ['', '', '104822', '.104822', '.104822.677', 'T10:48:22', '', '104822.677+0100', '1048', '10-0500', '', '-', ''][k + 1] AS rest FROM d)
+SELECT o_orderkey, CASE WHEN k = 6 THEN 'NotADate' WHEN k IN (1, 5) THEN i || rest WHEN k = 10 THEN m WHEN k = 12 THEN c || '-' || c ELSE c || rest END AS raw,
+    CASE WHEN k = 6 THEN NULL WHEN k IN (1, 5) THEN i2 || rest WHEN k = 10 THEN m2 WHEN k = 12 THEN c2 || '-' || c2 ELSE c2 || rest END AS shifted FROM t"""
 )
 def date_shift_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 7
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 13
     compact, iso = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM-dd")
-    forms = [compact, iso, F.concat(compact, F.lit("104822")), F.concat(compact, F.lit(".104822")), F.concat(compact, F.lit(".104822.677")), F.concat(iso, F.lit("T10:48:22")), F.lit("NotADate")]
+    behind = lambda start, *rest: [F.concat(start, F.lit(x)) for x in rest]
+    forms = [compact, iso, *behind(compact, "104822", ".104822", ".104822.677"), *behind(iso, "T10:48:22"), F.lit("NotADate"), *behind(compact, "104822.677+0100", "1048", "10-0500"), F.date_format(day, "yyyyMM"), *behind(compact, "-"), F.concat(compact, F.lit("-"), compact)]
     raw = F.element_at(F.array(*forms), (k + 1).cast("int"))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", raw.alias("raw"))
     return rows.select("o_orderkey", "raw", dates.shift_text(F.col("raw"), dates.shift_days(F.col("o_custkey").cast("string"))).alias("shifted"))
@@ -286,7 +290,7 @@ SELECT sop_instance_uid, acquired, CAST(NULL AS VARCHAR) AS accession, '' AS des
 def remediate_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift, remove, empty, replace and private removal on every attribute map."""
     whole = model.from_tables(spark, sf_dir)
-    done = remediate.remediate(whole, audit.audit(whole, POLICY), POLICY)
+    done = remediate.apply_policy(whole, POLICY)
     tags = {"acquired": "0008,0022", "accession": "0008,0050", "description": "0008,1030", "sex": "0010,0040", "private": "0011,1010", "own": "0099,0010", "kvp": "0018,0060"}
     return done.instances.select("sop_instance_uid", *(F.col("attributes")[t].alias(c) for c, t in tags.items()))
 
@@ -323,9 +327,83 @@ def redaction_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sop_instance_uid", F.col("a")["0008,0008"].alias("image_type"), F.col("a")["0028,0301"].alias("burned_in"), remediate.new_uid(F.col("sop_instance_uid")).alias("new_uid"))
 
 
-@query("SELECT sop_instance_uid, 10 AS n_errors FROM instances", "cohort")
+DEEP_POLICY = Configuration(phi_tags={"0010,0010": TagPolicy("Patient Name", "REPLACE", "X"), "0040,a043": TagPolicy("Concept", "REMOVE"), "0008,0104": TagPolicy("Meaning", "EMPTY")}, remove_private_tags=False)
+_ITEMS_SQL = """, items AS (SELECT sop_instance_uid, patient_id, unnest([{'path': '0040,a730[0]', 'tag': '0010,0010', 'vr': 'PN', 'value': 'Doe^' || l_suppkey, 'name': 'Patient Name'}, {'path': '0040,a730[1].0008,1140[0]', 'tag': '0008,0104', 'vr': 'LO', 'value': l_returnflag, 'name': 'Meaning'}, {'path': '0040,a730[1]', 'tag': '0040,a043', 'vr': 'CS', 'value': l_returnflag, 'name': 'Concept'}], recursive := true) FROM flat WHERE l_linenumber % 4 = 0)
+"""
+
+
+@query(_ITEMS_SQL + "SELECT sop_instance_uid AS entity_uid, name || ' (Deep)' AS field_name, value, tag, patient_id, CASE tag WHEN '0040,a043' THEN 'REMOVE_TAG' ELSE 'REPLACE_TAG' END AS action_type, CASE tag WHEN '0010,0010' THEN 'X' WHEN '0008,0104' THEN '' END AS new_value, path AS item_path FROM items", "cohort")
+def deep_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in nested items, with their paths."""
+    found = audit.audit(model.with_items(spark, sf_dir), DEEP_POLICY)
+    return found.filter("item_path is not null").select("entity_uid", "field_name", "value", "tag", "patient_id", "action_type", "new_value", "item_path")
+
+
+_NEW_UID_SQL = "'2.25.' || CAST(('0x' || substr(sha256('redacted:' || {uid}), 1, 15)) AS BIGINT)"
+
+
+def _redacted(spark: SparkSession, sf_dir: str) -> model.Cohort:
+    """The cohort with nested items after the images of the machines with rules were redacted."""
+    whole = model.with_items(spark, sf_dir)
+    rules = RULES.zone_frame(spark).filter("serial_number <> '*'")
+    changed = zones.plan(whole, rules).select(remediate.new_uid(F.col("sop_instance_uid")).alias("sop_instance_uid"), F.col("sop_instance_uid").alias("original_uid"))
+    return zones.mark_changed(whole, changed)
+
+
+@query(
+    _ITEMS_SQL
+    + f""", u AS (SELECT sop_instance_uid AS old, CASE WHEN device_serial_number IN ('Supplier#000000001', 'Supplier#000000002') THEN {_NEW_UID_SQL.format(uid="sop_instance_uid")} ELSE sop_instance_uid END AS uid FROM flat)
+SELECT uid AS entity_uid, value, path AS item_path FROM items JOIN u ON sop_instance_uid = old""",
+    "cohort",
+)
+def deep_audit_after_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redacted instances have new uids, and their nested items are found under those."""
+    found = audit.audit(_redacted(spark, sf_dir), DEEP_POLICY)
+    return found.filter("item_path is not null").select("entity_uid", "value", "item_path")
+
+
+@query(_ITEMS_SQL + "SELECT sop_instance_uid, path AS item_path, tag, CASE tag WHEN '0010,0010' THEN 'X' ELSE '' END AS value FROM items WHERE tag <> '0040,a043'", "cohort")
+def remediate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy carried out on nested items in place."""
+    return remediate.apply_policy(model.with_items(spark, sf_dir), DEEP_POLICY).seq_items.select("sop_instance_uid", "item_path", "tag", "value")
+
+
+@query(_ITEMS_SQL + "SELECT sop_instance_uid, path AS item_path, tag, CASE tag WHEN '0010,0010' THEN 'X' ELSE '' END AS value FROM items WHERE tag <> '0040,a043'", "cohort")
+def remediate_deep_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the findings of the audit."""
+    whole = model.with_items(spark, sf_dir)
+    return remediate.remediate(whole, audit.audit(whole, DEEP_POLICY), DEEP_POLICY).seq_items.select("sop_instance_uid", "item_path", "tag", "value")
+
+
+@query(_ITEMS_SQL + "SELECT sop_instance_uid, tag, value FROM items WHERE vr IN ('PN', 'LO')", "cohort")
+def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dicom.text_index(model.with_items(spark, sf_dir).seq_items).select("sop_instance_uid", "tag", "value")
+
+
+@query("SELECT sop_instance_uid, CASE WHEN l_linenumber % 2 = 0 THEN 'before\\engine' ELSE 'engine' END AS method, '113100' AS code FROM instances", "cohort")
+def deid_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method is appended once, whatever was there; stamping twice changes nothing."""
+    had = F.when(F.col("instance_number") % 2 == 0, F.map_concat("attributes", F.create_map(F.lit(remediate.DEID_METHOD), F.lit("before")))).otherwise(F.col("attributes"))
+    rows = model.from_tables(spark, sf_dir).instances.withColumn("attributes", had)
+    for _ in range(2):
+        rows = rows.withColumn("attributes", remediate.stamp_deidentified(F.col("attributes"), "engine"))
+    return rows.select("sop_instance_uid", F.col("attributes")[remediate.DEID_METHOD].alias("method"), F.col("attributes")[remediate.DEID_METHOD_CODES].alias("code"))
+
+
+_LACKING = ("0008,0016", "0008,0018", "0008,0020", "0008,0030", "0008,0060", "0020,000e", "0018,0050", "0020,0032", "0020,0037", "0028,0030")
+_LACKING_SQL = " + ".join(f"CASE WHEN CAST(l_partkey AS BIGINT) % {k + 2} = 0 THEN 1 {'' if tag == '0018,0050' else f'WHEN CAST(l_partkey AS BIGINT) % {k + 2} = 1 AND l_linenumber % 2 = 0 THEN 1 '}ELSE 0 END" for k, tag in enumerate(_LACKING))
+
+
+@query(f"SELECT sop_instance_uid, {_LACKING_SQL} AS n_errors, CAST(l_partkey AS BIGINT) % 2 = 0 OR (CAST(l_partkey AS BIGINT) % 2 = 1 AND l_linenumber % 2 = 0) AS lacks_class FROM instances WHERE {_LACKING_SQL} > 0", "cohort")
 def iod_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.invalid(model.from_tables(spark, sf_dir).instances).select("sop_instance_uid", F.size("errors").alias("n_errors"))
+    """Attributes that are there, absent or empty by the part's number; an empty type-2 one is no error."""
+    lineitem = _table(spark, sf_dir, "lineitem")
+    n = F.col("l_partkey").cast("long")
+    entries = [F.when(n % (k + 2) == 0, None).when((n % (k + 2) == 1) & (F.col("l_linenumber") % 2 == 0), F.struct(F.lit(t).alias("key"), F.lit("").alias("value"))).otherwise(F.struct(F.lit(t).alias("key"), F.lit("x").alias("value"))) for k, t in enumerate(_LACKING)]
+    extra = F.map_from_entries(F.array_compact(F.array(*entries)))
+    rows = lineitem.select(model.sop_uid().alias("sop_instance_uid"), F.lit("1.2.840.10008.5.1.4.1.1.2").alias("sop_class_uid"), F.map_concat(model.line_attributes(), extra).alias("attributes"))
+    lacks_class = F.exists("errors", lambda e: e.contains("0008,0016") & e.startswith("[Type 1 Error]"))
+    return validate.invalid(rows).select("sop_instance_uid", F.size("errors").alias("n_errors"), lacks_class.alias("lacks_class"))
 
 
 # -- machine rules and zones ----------------------------------------------------------------------
@@ -415,6 +493,32 @@ def zone_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.suggestions(zones.verify(_regions(spark, sf_dir), rules)).select("serial_number", "action", "new_zone.*")
 
 
+@query("SELECT DISTINCT device_serial_number, CASE device_serial_number WHEN 'Supplier#000000001' THEN 0 ELSE 1 END AS rule_pos, r1 FROM machines JOIN (VALUES ('Supplier#000000001', 0.0::DOUBLE), ('Supplier#000000002', 1.0::DOUBLE)) v(s, r1) ON device_serial_number = s", "machines")
+def first_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first exact rule per machine, with its first zone; wildcards don't count."""
+    rules = RULES.zone_frame(spark)
+    later = rules.filter("serial_number <> '*'").withColumns({"rule_pos": F.col("rule_pos") + 5, "r1": F.lit(99.0)})
+    found = zones.first_rule(model.equipment(spark, sf_dir), rules.filter("zone_pos = 0").unionByName(later))
+    return found.select("device_serial_number", "rule_pos", "r1")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN w * h > 0 THEN CASE WHEN least(x + w, 10) > x AND least(y + h, 6) > greatest(y, 1) THEN (least(x + w, 10) - x) * (least(y + h, 6) - greatest(y, 1)) ELSE 0 END / CAST(w * h AS DOUBLE) >= 0.5 ELSE false END AS covered FROM (SELECT l_orderkey, l_linenumber, l_linenumber * 2 - 2 AS x, l_partkey % 9 AS y, CAST(trunc(l_quantity / 5) AS INT) AS w, l_orderkey % 4 AS h FROM lineitem)")
+def covered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of which a zone covers at least half."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 2 - 2).alias("x"), (F.col("l_partkey") % 9).alias("y"), (F.col("l_quantity") / 5).cast("int").alias("w"), (F.col("l_orderkey") % 4).alias("h"))
+    zone = {"x": F.lit(0), "y": F.lit(1), "w": F.lit(10), "h": F.lit(5)}
+    return rows.select("l_orderkey", "l_linenumber", zones.is_covered({k: F.col(k) for k in "xywh"}, zone).alias("covered"))
+
+
+@query("SELECT sop_instance_uid FROM instances JOIN series USING (series_instance_uid) WHERE modality = 'SC' OR (modality = 'R' AND l_linenumber % 2 = 0)", "cohort")
+def image_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images without pixels; the modality R stands for CT here, the others for documents."""
+    flat = flatten.flatten(model.from_tables(spark, sf_dir))
+    kind = F.when(F.col("modality") == "R", "CT").otherwise(F.concat(F.lit("DOC"), "modality"))
+    pixels = F.when(F.col("instance_number") % 2 == 1, F.lit(b"\x00"))
+    return flat.filter(validate.lacks_pixels(kind, pixels)).select("sop_instance_uid")
+
+
 # -- discovery ------------------------------------------------------------------------------------
 
 
@@ -445,10 +549,46 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.clusters(_candidates(spark, sf_dir)).select("candidate", "cluster")
 
 
-@query("WITH RECURSIVE " + _BOXES_SQL + "SELECT serial_number, cluster, min(y)::INT AS r1, max(y + h)::INT AS r2, min(x)::INT AS c1, max(x + w)::INT AS c2, count(DISTINCT source_index) / 20 AS occurrence, CASE WHEN count(DISTINCT source_index) > 18 THEN 'STATIC_ALWAYS' WHEN count(DISTINCT source_index) > 10 THEN 'STATIC_FREQUENT' ELSE 'TRANSIENT' END AS status FROM p JOIN c USING (candidate) GROUP BY 1, 2 HAVING count(DISTINCT source_index) >= 2")
+def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that return at twenty places of a machine, a little apart; some texts are names."""
+    key = F.col("p_partkey")
+    text = F.when(key % 11 == 0, F.concat(F.lit("DOE^"), key.cast("string"))).when(key % 3 == 0, F.concat(F.lit("Ward "), key.cast("string"))).otherwise(F.concat(F.lit("kvp "), key.cast("string")))
+    boxes = _table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("serial_number"), key.alias("candidate"), text.alias("text"), (80 + key % 16).cast("double").alias("confidence"), (key % 20).cast("int").alias("source_index"),
+        (key % 5 * 700 + key % 3).cast("int").alias("x"), (key % 4 * 500 + key % 2).cast("int").alias("y"), (key % 7 * 3 + 2).cast("int").alias("w"), (key % 13 + 2).cast("int").alias("h"),
+    )
+    return boxes.withColumn("classification", discover.classify_text(F.col("text")))
+
+
+_RECURRING_SQL = """p AS (SELECT p_brand AS serial_number, p_partkey AS candidate, CASE WHEN p_partkey % 11 = 0 THEN 'DOE^' WHEN p_partkey % 3 = 0 THEN 'Ward ' ELSE 'kvp ' END || p_partkey AS text, CAST(80 + p_partkey % 16 AS DOUBLE) AS confidence, p_partkey % 20 AS source_index,
+    p_partkey % 5 * 700 + p_partkey % 3 AS x, p_partkey % 4 * 500 + p_partkey % 2 AS y, p_partkey % 7 * 3 + 2 AS w, p_partkey % 13 + 2 AS h FROM part),
+c AS (SELECT candidate, min(candidate) OVER (PARTITION BY serial_number, candidate % 5, candidate % 4) AS cluster FROM p)
+"""
+
+
+@query(
+    "WITH "
+    + _RECURRING_SQL
+    + """SELECT serial_number, cluster, min(y)::INT AS r1, max(y + h)::INT AS r2, min(x)::INT AS c1, max(x + w)::INT AS c2, count(DISTINCT source_index) / 20 AS occurrence, CASE WHEN count(DISTINCT source_index) > 18 THEN 'STATIC_ALWAYS' WHEN count(DISTINCT source_index) > 10 THEN 'STATIC_FREQUENT' ELSE 'TRANSIENT' END AS status,
+    CASE WHEN bool_or(text LIKE 'DOE^%') THEN 'LIKELY_NAME' WHEN bool_or(text LIKE 'Ward %') THEN 'PROPER_NOUN' ELSE 'TEXT' END AS type, array_to_string(list_sort(list_distinct(list(text)))[1:3], '|') AS examples, avg(confidence) AS confidence
+FROM p JOIN c USING (candidate) GROUP BY 1, 2 HAVING count(DISTINCT source_index) >= 1 AND max(x + w) - min(x) > 5 AND max(y + h) - min(y) > 5"""
+)
 def discovered_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = discover.zones(discover.clusters(_candidates(spark, sf_dir)), 20)
-    return discover.stability(found).select("serial_number", "cluster", "r1", "r2", "c1", "c2", "occurrence", "status")
+    found = discover.zones(discover.clusters(_recurring(spark, sf_dir)), 20, 0.05)
+    return discover.stability(found).select("serial_number", "cluster", "r1", "r2", "c1", "c2", "occurrence", "status", "type", F.array_join("examples", "|").alias("examples"), "confidence")
+
+
+@query("WITH " + _RECURRING_SQL + "SELECT serial_number, cluster, min(x)::INT AS x, min(y)::INT AS y, (max(x + w) - min(x))::INT AS w, (max(y + h) - min(y))::INT AS h, string_agg(candidate, ',' ORDER BY candidate) AS members FROM p JOIN c USING (candidate) GROUP BY 1, 2")
+def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = discover.merged_boxes(discover.clusters(_recurring(spark, sf_dir)))
+    return found.select("serial_number", "cluster", "x", "y", "w", "h", F.array_join("candidates", ",").alias("members"))
+
+
+@query("WITH " + _RECURRING_SQL + "SELECT candidate, text FROM p WHERE confidence >= 90 AND text LIKE 'DOE^%'")
+def candidates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By confidence, then by a condition."""
+    sure = discover.filtered(_recurring(spark, sf_dir), 90.0)
+    return discover.filtered(sure, F.col("classification") == "NAME_PATTERN").select("candidate", "text")
 
 
 @query("""WITH p AS (SELECT p_partkey * 37 % 4001 AS x, p_partkey * 101 % 3001 AS y, p_size + 10 AS w, p_size % 13 + 6 AS h FROM part), m AS (SELECT max(x) AS mx, max(y) AS my FROM p),
@@ -485,9 +625,91 @@ def eav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(key[0].cast("long").alias("l_orderkey"), key[1].cast("long").alias("l_suppkey"), F.col("attributes")["0011,1010"].alias("value"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"0099,0010\":\"own\"}' AS attributes_json FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Attribute maps from their JSON form and back."""
+    maps = _table(spark, sf_dir, "events").select("event_id", catalog.attributes_from_json(F.col("props")).alias("attributes"))
+    more = F.map_concat("attributes", F.create_map(F.lit("0099,0010"), F.lit("own")))
+    return maps.select("event_id", F.col("attributes")["k"].alias("k"), catalog.attributes_to_json(more).alias("attributes_json"))
+
+
+@query("SELECT sop_instance_uid, group_id, element_id, value FROM (SELECT sop_instance_uid, split_part(tag, ',', 1) AS group_id, split_part(tag, ',', 2) AS element_id, CASE WHEN tag = '0011,1010' AND CAST(value AS INT) % 2 = 0 THEN 'new' ELSE value END AS value FROM attrs WHERE tag IN ('0011,1010', '0099,0010'))", "cohort")
+def eav_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An element that comes anew takes the place of all its old atoms."""
+    old = catalog.to_eav(model.from_tables(spark, sf_dir).instances)
+    twice = old.unionByName(old.filter("group_id = '0011' and cast(value as int) % 2 = 0").withColumn("atom_index", F.lit(1)))
+    new = old.filter("group_id = '0011' and cast(value as int) % 2 = 0").withColumn("value", F.lit("new"))
+    return catalog.replace_eav(twice, new).select("sop_instance_uid", "group_id", "element_id", "value")
+
+
+@query("SELECT sop_instance_uid, CASE WHEN l_linenumber = 1 THEN 'changed' ELSE l_returnflag END AS sex, CASE WHEN l_linenumber = 1 THEN 1 ELSE 9 END AS n FROM instances", "cohort")
+def attributes_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances = model.from_tables(spark, sf_dir).instances
+    changed = instances.filter("instance_number = 1").select("sop_instance_uid", F.create_map(F.lit("0010,0040"), F.lit("changed")).alias("attributes"))
+    return catalog.update_attributes(instances, changed).select("sop_instance_uid", F.col("attributes")["0010,0040"].alias("sex"), F.size("attributes").alias("n"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as frames."""
+    text = F.col("text").cast("binary")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sop_instance_uid"), text.alias("pixels"), F.sha2(text, 256).alias("pixel_hash"), F.substring("source", 1, 3).alias("part"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS pixel_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
+def frames_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose pixels aren't stored yet, each once."""
+    frames = _frames(spark, sf_dir)
+    return catalog.new_frames(frames, frames.filter("sop_instance_uid % 2 = 0")).select(F.col("sop_instance_uid").alias("doc_id"), "pixel_hash")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 <> 0")
+def frames_intact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    harmed = frames.withColumn("pixels", F.when(F.col("sop_instance_uid") % 5 == 0, F.concat("pixels", F.lit(b"\x00"))).otherwise(F.col("pixels")))
+    return catalog.intact(harmed).select(F.col("sop_instance_uid").alias("doc_id"))
+
+
+@query("SELECT sop_instance_uid, '/in/' || sop_instance_uid || '.dcm' AS file_path FROM instances WHERE l_linestatus = 'F' AND l_linenumber % 2 = 0", "cohort")
+def exactly_burned_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelled = F.transform_values("attributes", lambda k, v: F.when((k == "0028,0301") & (F.col("instance_number") % 2 == 0), F.upper(v)).otherwise(v))
+    return inventory.exactly_burned_in(model.from_tables(spark, sf_dir).map(instances=lambda df: df.withColumn("attributes", spelled)))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed, min(CASE WHEN event_type = 'error' THEN 'E' || lpad(CAST(event_id AS VARCHAR), 12, '0') END) AS first_error FROM events")
+def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    return inventory.export_summary(_table(spark, sf_dir, "events").select(F.lit("p").alias("path"), failed.alias("error")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, upper(event_type) AS action_type, count(*) AS n FROM events GROUP BY ALL")
+def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming counts over a whole log."""
+    return windows.audit_counts(_log(spark, sf_dir))
+
+
+@query("SELECT DISTINCT CAST(o_custkey * 2 AS VARCHAR) AS patient_id FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")
+def missing_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).cast("string").alias("patient_id"))
+    return identity.missing_patients(model.from_tables(spark, sf_dir), ids)
+
+
+@query(
+    """, f AS (SELECT patient_id, patient_name, arg_min(l_returnflag, sop_instance_uid) AS sex, arg_min('ACC' || l_partkey, sop_instance_uid) AS accession FROM flat GROUP BY ALL)
+SELECT 'ANON_' || substr(sha256(patient_id), 1, 12) AS patient_id, patient_id AS original_id, patient_name AS original_name, sex, accession FROM f""",
+    "cohort",
+)
+def locked_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed, anonymised and recovered: what each patient's token says."""
+    key = "MDEyMzQ1Njc4OWFiY2RlZjAxMjM0NTY3ODlhYmNkZWY="
+    locked = identity.lock(model.from_tables(spark, sf_dir), key)
+    found = identity.recover(remediate.apply_policy(locked, POLICY), key)
+    tags = {"original_id": "0010,0020", "original_name": "0010,0010", "sex": "0010,0040", "accession": "0008,0050"}
+    return found.select("patient_id", *(F.col("original")[t].alias(c) for c, t in tags.items()))
+
+
+@query("SELECT patient_id, study_instance_uid, series_instance_uid, sop_instance_uid, modality, '/in/' || sop_instance_uid || '.dcm' AS file_path FROM flat", "cohort")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.manifest_rows(model.from_tables(spark, sf_dir))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'kept' END AS change FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0 UNION ALL SELECT -c_custkey - 1, 'new', 'inserted' FROM customer")

@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import naming
-from .operators import audit, discover, flatten, identity, inventory, remediate, report, validate, zones
+from .operators import audit, catalog, discover, flatten, identity, inventory, remediate, report, validate, zones
 from .operators.catalog import Catalog
 from .plans.cohort import Cohort, empty
-from .sources import dicom
+from .sources import ctp, dicom
 from .sources.policy import Configuration
 
 LOG = "ts timestamp, action_type string, entity_uid string, details string"
 
 
 class Session:
-    def __init__(self, spark: SparkSession, folder: str, configuration: Configuration | None = None):
+    def __init__(self, spark: SparkSession, folder: str, configuration: Configuration | None = None, codecs: dict[str, dicom.Codec] | None = None):
+        """``codecs`` decode further transfer syntaxes, by their uid."""
         self.spark = spark
         self.catalog = Catalog(spark, folder)
         self.configuration = configuration or Configuration.default()
+        self.codecs = codecs
         self.key: str | None = None
 
     # -- tables ---------------------------------------------------------------------------------
@@ -50,7 +52,7 @@ class Session:
 
     def record(self, rows: DataFrame) -> None:
         """Append (action_type, entity_uid, details) to the log."""
-        self.catalog.append("log", rows.select(F.current_timestamp().alias("ts"), "action_type", "entity_uid", "details"))
+        self.catalog.append("log", rows.select(F.current_timestamp().alias("ts"), "action_type", F.col("entity_uid").cast("string").alias("entity_uid"), "details"))
 
     def load_config(self, path: str) -> None:
         self.configuration = Configuration.load(path)
@@ -59,19 +61,27 @@ class Session:
 
     def ingest(self, path: str) -> DataFrame:
         """Read new files below ``path``; returns those that could not be read."""
+        return self.add_records(dicom.read(self.spark, path, self.cohort.instances, self.codecs))
+
+    def add_records(self, parsed: DataFrame, tag: str | None = None) -> DataFrame:
+        """Append what parsed files (path, record) bring; returns those that could not be read.
+
+        An instance that is known already, and a second file of one, brings nothing: no row, item or
+        frame. Nothing that is stored is written anew. Rows under a ``tag`` are added once.
+        """
         old = self.cohort
-        parsed = dicom.read(self.spark, path, old.instances)
         stage = self.catalog.write("records", parsed)
         records = self.catalog.read("records", stage)
-        new, frames = dicom.to_cohort(records)
-        keys = {"patients": "patient_id", "studies": "study_instance_uid", "series": "series_instance_uid", "instances": "sop_instance_uid"}
-        merged = {}
-        for name, key in keys.items():
-            have, come = getattr(old, name), getattr(new, name).dropDuplicates([key])
-            merged[name] = have.unionByName(come.join(have.select(key), key, "left_anti"))
-        self.save(Cohort(**merged, seq_items=old.seq_items.unionByName(new.seq_items)))
-        self.catalog.write("frames", self.frames.unionByName(frames) if self.catalog.exists("frames") else frames)
-        return dicom.errors(records)
+        new, frames = dicom.to_cohort(records, old.instances)
+        keys = {"patients": "patient_id", "studies": "study_instance_uid", "series": "series_instance_uid"}
+        come = {name: getattr(new, name).join(getattr(old, name).select(key), key, "left_anti") for name, key in keys.items()}
+        come |= {"seq_items": new.seq_items, "frames": frames, "instances": new.instances}
+        for name, rows in come.items():  # instances last: the others are worked out from those that were there
+            self.catalog.append(name, rows, tag)
+        found = dicom.errors(records)
+        failed = self.catalog.read("failures", self.catalog.write("failures", found))
+        self.catalog.drop("records")
+        return failed
 
     def examine(self) -> DataFrame:
         return inventory.counts(self.cohort)
@@ -101,13 +111,24 @@ class Session:
     def save_analysis(self, findings: DataFrame) -> None:
         self.catalog.append("findings", findings.withColumn("ts", F.current_timestamp()))
 
-    def anonymize(self, findings: DataFrame | None = None) -> DataFrame:
-        """Carry out all proposals; returns how many there were of each action."""
-        if findings is None or findings.isEmpty():
-            findings = self.audit()
-        before, rows = self.cohort, remediate.log_rows(findings)
-        stage = self.catalog.write("remediation_log", rows)
-        self.save(remediate.remediate(before, findings, self.configuration))
+    def load_findings(self, latest: bool = False) -> DataFrame:
+        """Saved findings, fit for ``anonymize``: all of them, or those of the last save."""
+        saved = self.catalog.read("findings")
+        if latest:
+            saved = saved.join(F.broadcast(saved.agg(F.max("ts").alias("ts"))), "ts", "left_semi")
+        return saved.select(*audit.COLUMNS, "ts")
+
+    def anonymize(self, findings: DataFrame | None = None, stamp: str | None = "cohortlake privacy profile") -> DataFrame:
+        """Carry out the proposals of ``findings``, or the whole policy; returns how many there were of each action.
+
+        ``stamp`` names the method on each instance. Dates that no shift can move are logged as warnings.
+        """
+        before, given = self.cohort, findings is not None and not findings.isEmpty()
+        stage = self.catalog.write("remediation_log", remediate.log_rows(findings if given else self.audit()))
+        after = remediate.remediate(before, findings, self.configuration) if given else remediate.apply_policy(before, self.configuration)
+        if stamp:
+            after = after.map(instances=lambda df: df.withColumn("attributes", remediate.stamp_deidentified(F.col("attributes"), stamp)))
+        self.save(after)
         rows = self.catalog.read("remediation_log", stage)
         self.record(rows)
         return rows.groupBy("action_type").agg(F.count("*").alias("n"))
@@ -116,7 +137,14 @@ class Session:
         self.key = identity.load_or_make_key(key_path)
 
     def lock_identities(self, patient_ids: list[str] | DataFrame | None = None, tags_to_lock: tuple[str, ...] = identity.DEFAULT_TAGS) -> None:
-        ids = [r.patient_id for r in patient_ids.select("patient_id").distinct().collect()] if isinstance(patient_ids, DataFrame) else patient_ids
+        """Seal the attributes of the patients named by a list or by the patient ids of a table, or of all.
+
+        Ids that are no patients are logged as warnings.
+        """
+        ids = self.spark.createDataFrame([(p,) for p in patient_ids], "patient_id string") if isinstance(patient_ids, list | tuple) else patient_ids
+        if ids is not None:
+            missing = identity.missing_patients(self.cohort, ids.select("patient_id"))
+            self.record(missing.select(F.lit("WARNING").alias("action_type"), F.col("patient_id").alias("entity_uid"), F.lit("no such patient to lock").alias("details")))
         self.catalog.write("instances", identity.lock(self.cohort, self._key(), ids, tuple(tags_to_lock)).instances)
 
     def recover_patient_identity(self, patient_id: str, restore: bool = False) -> dict | None:
@@ -136,18 +164,30 @@ class Session:
         return zones.preview(self.cohort, self.configuration.zone_frame(self.spark))
 
     def redact(self, configuration: Configuration | None = None) -> DataFrame:
-        """Fill all zones; returns (sop_instance_uid, original_uid) of the instances that changed."""
-        cohort, config = self.cohort, configuration or self.configuration
-        frames = zones.redact(self.frames, zones.plan(cohort, config.zone_frame(self.spark)))
-        stage = self.catalog.write("redacted", frames)
-        done = self.catalog.read("redacted", stage)
-        marked = zones.mark_redacted(cohort.instances, done)
-        uid = F.when(F.col("redacted"), remediate.new_uid(F.col("sop_instance_uid"))).otherwise(F.col("sop_instance_uid"))
-        changed = done.filter("redacted").select(remediate.new_uid(F.col("sop_instance_uid")).alias("sop_instance_uid"), F.col("sop_instance_uid").alias("original_uid"))
-        self.catalog.write("frames", done.withColumn("sop_instance_uid", uid).drop("redacted"))
-        version = self.catalog.write("instances", marked.drop("original_uid"))
+        """Fill all zones; returns (sop_instance_uid, original_uid) of the instances that changed.
+
+        Only files of tables that hold a changed row are written anew, and the frames, the instances
+        and their nested items get the new uid together.
+        """
+        config = configuration or self.configuration
+        if not self.catalog.exists("frames"):
+            return self.spark.createDataFrame([], "sop_instance_uid string, original_uid string")
+        plan = zones.plan(self.cohort, config.zone_frame(self.spark)).withColumnRenamed("config_hash", "new_hash")
+        due = plan.join(self.frames.select("sop_instance_uid", "config_hash"), "sop_instance_uid").filter(~F.col("new_hash").eqNullSafe(F.col("config_hash")))
+        tasks = self.catalog.read("redaction_tasks", self.catalog.write("redaction_tasks", due.select("sop_instance_uid", "zones", F.col("new_hash").alias("config_hash"))))
+        uid = F.col("sop_instance_uid")
+
+        def fill(frames: DataFrame) -> DataFrame:
+            return zones.redact(frames, tasks).withColumn("sop_instance_uid", F.when(F.col("redacted"), remediate.new_uid(uid)).otherwise(uid))
+
+        self.catalog.update("frames", tasks.select("sop_instance_uid"), fill)
+        changed = tasks.select(remediate.new_uid(uid).alias("sop_instance_uid"), uid.alias("original_uid")).join(self.frames.select("sop_instance_uid"), "sop_instance_uid", "left_semi")
+        changed = self.catalog.read("redactions", self.catalog.write("redactions", changed))
+        blank, old = empty(self.spark), changed.select(F.col("original_uid").alias("sop_instance_uid"))
+        for name in ("instances", "seq_items"):
+            self.catalog.update(name, old, lambda df, name=name: getattr(zones.mark_changed(replace(blank, **{name: df}), changed), name))
         self.record(changed.select(F.lit("REDACTION").alias("action_type"), F.col("sop_instance_uid").alias("entity_uid"), F.lit("zones filled").alias("details")))
-        self.record(zones.risk_rows(self.catalog.read("instances", version)))
+        self.record(zones.risk_rows(self.catalog.read("instances")))
         return changed
 
     def redact_by_machine(self, serial_number: str, roi: list[float]) -> DataFrame:
@@ -157,7 +197,7 @@ class Session:
     def scan_pixel_content(self, regions: DataFrame, serial_number: str | None = None) -> DataFrame:
         """Leaks among OCR regions of machines that have zones."""
         rules = self.configuration.zone_frame(self.spark)
-        seen = regions.join(F.broadcast(rules.select("serial_number").distinct()), "serial_number", "left_semi")
+        seen = regions.join(rules.select("serial_number").distinct(), "serial_number", "left_semi")
         return zones.verify(seen.filter(F.col("serial_number") == serial_number) if serial_number else seen, rules)
 
     def auto_remediate_config(self, leaks: DataFrame) -> int:
@@ -181,16 +221,16 @@ class Session:
 
     # -- export ---------------------------------------------------------------------------------
 
-    def export(self, folder: str, safe: bool = False, subset: str | list[str] | DataFrame | None = None, patient_ids: list[str] | None = None, check: bool = False) -> DataFrame:
+    def export(self, folder: str, safe: bool = False, subset: str | list[str] | DataFrame | None = None, patient_ids: list[str] | None = None, check: bool = False, redact: bool = True, compress: bool = False, fail_on_error: bool = False) -> DataFrame:
         """Write files; returns (path, error) rows. Level tables override the attribute maps.
 
         ``safe`` leaves out instances with a finding on them or an ancestor, ``check`` those that
-        lack required attributes, which come back as errors.
+        lack required attributes, which come back as errors. So do images without pixels, and pixels
+        that are not those that were stored. ``redact`` fills zones that are due in what is written;
+        ``compress`` stores pixels as RLE. ``fail_on_error`` raises once all files are tried.
         """
         cohort = self.cohort
-        rows = flatten.flatten(cohort, patient_ids)
-        if safe:
-            rows = flatten.safe_export(rows, self.audit())
+        rows = flatten.safe_export(cohort, self.audit(), patient_ids) if safe else flatten.flatten(cohort, patient_ids)
         if subset is not None:
             full = flatten.cohort_report(cohort, flatten.attribute_keys(cohort.instances) if isinstance(subset, str) else None)
             chosen = flatten.subset_query(full, subset) if isinstance(subset, str) else flatten.subset_frame(full, subset) if isinstance(subset, DataFrame) else flatten.subset_ids(full, self.spark.createDataFrame([(x,) for x in subset], "id string"))
@@ -201,12 +241,41 @@ class Session:
         merged = F.map_concat(F.map_filter("attributes", lambda k, v: ~k.isin(*level)), own)
         rows = rows.withColumn("attributes", merged).join(flatten.export_paths(cohort, folder), "sop_instance_uid")
         nested = cohort.seq_items.groupBy("sop_instance_uid").agg(F.collect_list(F.struct("item_path", "tag", "vr", "value")).alias("items"))
-        rows = rows.join(nested, "sop_instance_uid", "left").join(self.frames.select("sop_instance_uid", "pixels", "bits"), "sop_instance_uid", "left")
-        if not check:
-            return dicom.export(rows)
-        rows = rows.withColumn("lacks", validate.missing_attributes(F.col("sop_class_uid"), F.col("attributes")))
-        refused = rows.filter(F.size("lacks") > 0).select("path", F.array_join("lacks", "; ").alias("error"))
-        return dicom.export(rows.filter(F.size("lacks") == 0)).unionByName(refused)
+        frames = self.frames if self.catalog.exists("frames") else self.spark.createDataFrame([], dicom.FRAMES)
+        frames = frames.withColumn("intact", catalog.is_intact())
+        if redact and self.configuration.rules:
+            frames = zones.redact(frames, zones.plan(cohort, self.configuration.zone_frame(self.spark)))
+        rows = rows.join(nested, "sop_instance_uid", "left").join(frames.select("sop_instance_uid", "pixels", "bits", "rows", "cols", "samples", "frames", "intact"), "sop_instance_uid", "left")
+        lacks = validate.missing_attributes(F.col("sop_class_uid"), F.col("attributes")) if check else F.array().cast("array<string>")
+        refusal = F.when(~F.col("intact"), "pixels are not those that were stored").when(validate.lacks_pixels(F.col("modality"), F.col("pixels")), F.concat(F.lit("Pixels missing for Image Modality "), "modality")).when(F.size(lacks) > 0, F.array_join(lacks, "; "))
+        rows = rows.withColumn("error", refusal)
+        results = dicom.export(rows.filter("error is null"), compress).unionByName(rows.filter("error is not null").select("path", "error"))
+        done = self.catalog.read("exports", self.catalog.write("exports", results))
+        summary = inventory.export_summary(done).first()
+        failed = done.filter("error is not null and not startswith(error, '[Type ')")  # a refused check is an answer, not a failure
+        self.record(failed.select(F.lit("ERROR").alias("action_type"), F.lit(None).cast("string").alias("entity_uid"), F.lit("not exported").alias("details")))
+        if fail_on_error and summary.n_failed:
+            raise RuntimeError(f"{summary.n_failed} of {summary.n} files were not exported; first error: {summary.first_error}")
+        return done
+
+    def create_config(self, path: str, scripts: list[str] = (), rules: list[dict] = ()) -> str:
+        """Write a configuration for the machines seen: known zones, warnings, tag defaults. Returns its text.
+
+        What is known comes from rules by serial number (``rules``) and from pixel-anonymizer scripts
+        by manufacturer and model (``scripts``, texts).
+        """
+        known = [r for text in scripts for r in ctp.parse_script(text)]
+        serial = self.spark.createDataFrame([(i, r.get("serial_number", ""), r.get("manufacturer", ""), r.get("model_name", "")) for i, r in enumerate(rules)], "rule_pos int, serial_number string, manufacturer string, model_name string")
+        named = self.spark.createDataFrame([(i, r["manufacturer"], r["model_name"]) for i, r in enumerate(known)], "rule_pos int, manufacturer string, model_name string")
+        zones_of = {(k, i): r.get("redaction_zones", []) for k, some in ((1, rules), (2, known), (3, rules)) for i, r in enumerate(some)}
+        text = report.scaffold(self.cohort, self.configuration, serial, named, zones_of)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return text
+
+    def text_index(self) -> DataFrame:
+        """Nested elements that hold text."""
+        return dicom.text_index(self.cohort.seq_items)
 
     def generate_manifest(self, path: str, kind: str = "html") -> int:
         return report.write_manifest(self.cohort, path, kind)

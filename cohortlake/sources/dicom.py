@@ -1,26 +1,30 @@
 """DICOM files as rows, and rows as DICOM files.
 
 Files are listed and read by Spark's binaryFile source, so any store that Spark reads will do; an
-Arrow function parses them. Implicit and explicit little endian are parsed, undefined lengths and
-nested items included; pixels are decoded where they are stored plainly or as RLE. A file that
-can't be read becomes a row with an error.
+Arrow function parses them. Implicit, explicit and deflated little endian are parsed, undefined
+lengths and nested items included; pixels are decoded where they are stored plainly, as RLE, baseline
+JPEG or lossless JPEG of the first predictor, or by a codec that is given for their transfer syntax. A
+file that can't be read becomes a row with an error.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.tags import TEXT_VRS
 from ..plans.cohort import Cohort
+from . import jpeg
 
-IMPLICIT, EXPLICIT, RLE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.5"
+IMPLICIT, EXPLICIT, DEFLATED, RLE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.5"
+JPEG_BASELINE, JPEG_LOSSLESS = "1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.70"
 PIXELS = "7fe0,0010"
 # Fixed values of the standard: representations with a four-byte length, with bulk values, and of
 # the tags that implicit files and the writer need.
@@ -55,6 +59,7 @@ RECORD = (
     "manufacturer: string, model_name: string, device_serial_number: string, sop_instance_uid: string, sop_class_uid: string, instance_number: string, attributes: map<string,string>, "
     "items: array<struct<item_path: string, tag: string, vr: string, value: string>>, rows: int, cols: int, samples: int, frames: int, bits: int, pixel_repr: int, pixels: binary>"
 )
+FRAMES = "sop_instance_uid string, rows int, cols int, samples int, frames int, bits int, pixel_repr int, pixels binary, pixel_hash string, config_hash string"
 # Linking attributes, and what stands for an absent one.
 LINKS = {
     "patient_id": ("0010,0020", "UnknownPatient"), "patient_name": ("0010,0010", "Unknown"), "study_instance_uid": ("0020,000d", "UnknownStudy"), "study_date": ("0008,0020", "19000101"),
@@ -164,8 +169,8 @@ def unpack_rle(fragment: bytes, size: int, samples: int, wide: int) -> bytes:
     return stacked.transpose(2, 0, 1).tobytes()
 
 
-def parse(data: bytes) -> dict:
-    """One file as a record; raises ValueError if it has no instance uid."""
+def parse(data: bytes, codecs: dict[str, Codec] | None = None) -> dict:
+    """One file as a record; raises ValueError if it has no instance uid. ``codecs`` go before the built-in ones."""
     at, syntax = 0, IMPLICIT
     reader = _Reader(data)
     if data[128:132] == b"DICM":
@@ -177,6 +182,9 @@ def parse(data: bytes) -> dict:
             at = start + length
     elif len(data) > 8 and data[4:6].isalpha() and data[4:6].isupper():
         syntax = EXPLICIT
+    if syntax == DEFLATED:
+        reader.data = data = zlib.decompress(data[at:], -15)
+        at = 0
     found, _ = reader.elements(at, len(data), syntax != IMPLICIT)
     if not found.get("0008,0018"):
         raise ValueError("no SOPInstanceUID")
@@ -188,18 +196,30 @@ def parse(data: bytes) -> dict:
     number = lambda tag, default: int(float(found.get(tag) or default))
     out |= {"rows": number("0028,0010", 0), "cols": number("0028,0011", 0), "samples": number("0028,0002", 1), "frames": number("0028,0008", 1), "bits": number("0028,0100", 16), "pixel_repr": number("0028,0103", 0), "pixels": None}
     if reader.raw_pixels or reader.fragments:
-        out["pixels"] = _decoded(reader, out, syntax, number("0028,0006", 0))
+        out["pixels"] = _decoded(reader, out, syntax, number("0028,0006", 0), codecs or {})
     return out
 
 
-def _decoded(reader: _Reader, row: dict, syntax: str, planar: int) -> bytes:
+#: A decoder takes one frame's bytes and its record (rows, cols, samples, bits, ...), and gives plain interleaved samples.
+Codec = Callable[[bytes, dict], bytes]
+CODECS: dict[str, Codec] = {
+    RLE: lambda data, row: unpack_rle(data, row["rows"] * row["cols"], row["samples"], row["bits"] // 8),
+    JPEG_BASELINE: lambda data, row: jpeg.decode(data, row["rows"], row["cols"], row["samples"]),
+    JPEG_LOSSLESS: lambda data, row: jpeg.decode_lossless(data, row["rows"], row["cols"], row["samples"], row["bits"]),
+}
+
+
+def _decoded(reader: _Reader, row: dict, syntax: str, planar: int, codecs: dict[str, Codec]) -> bytes:
     wide = row["bits"] // 8
     plane = row["rows"] * row["cols"]
     size = plane * row["samples"] * row["frames"] * wide
     if reader.fragments:
-        if syntax != RLE:
+        codec = codecs.get(syntax) or CODECS.get(syntax)
+        if codec is None:
             raise ValueError(f"no codec for transfer syntax {syntax}")
-        return b"".join(unpack_rle(x, plane, row["samples"], wide) for x in reader.fragments)
+        # one fragment a frame, or all of a single frame
+        frames = reader.fragments if row["frames"] > 1 or syntax == RLE else [b"".join(reader.fragments)]
+        return b"".join(codec(x, row) for x in frames)
     raw = reader.raw_pixels[:size].ljust(size, b"\0")
     if planar and row["samples"] > 1:  # stored interleaved from here on
         array = np.frombuffer(raw, np.uint8).reshape(row["frames"], row["samples"], plane, wide)
@@ -208,7 +228,7 @@ def _decoded(reader: _Reader, row: dict, syntax: str, planar: int) -> bytes:
 
 
 
-def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _parse_batches(codecs: dict[str, Codec] | None, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kinds = {k: pa.string() for k in ("error", *LINKS)} | {k: pa.int32() for k in ("rows", "cols", "samples", "frames", "bits", "pixel_repr")}
     item = pa.struct([(k, pa.string()) for k in ("item_path", "tag", "vr", "value")])
     kinds |= {"attributes": pa.map_(pa.string(), pa.string()), "items": pa.list_(item), "pixels": pa.binary()}
@@ -217,13 +237,22 @@ def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = []
         for value in batch:
             try:
-                rows.append(parse(value.as_py()))
-            except (ValueError, struct.error, IndexError) as e:
+                rows.append(parse(value.as_py(), codecs))
+            except (ValueError, struct.error, IndexError, KeyError, zlib.error) as e:
                 rows.append({"error": f"{type(e).__name__}: {e}"})
         yield pa.array(rows, pa.struct([(k, kinds[k]) for k in order]))
 
 
-def read(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+def parsed(content: str, codecs: dict[str, Codec] | None = None) -> Column:
+    """The record of a file's bytes."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _parse_batches(codecs, batches)
+
+    return F.arrow_udf(run, RECORD).asNondeterministic()(content)
+
+
+def read(spark: SparkSession, path: str, known: DataFrame | None = None, codecs: dict[str, Codec] | None = None) -> DataFrame:
     """(path, record): one row per file below ``path``; names that begin with a dot are skipped.
 
     Paths in ``known`` (file_path) are left out before any file is opened.
@@ -232,7 +261,7 @@ def read(spark: SparkSession, path: str, known: DataFrame | None = None) -> Data
     files = files.filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
     if known is not None:
         files = files.join(known.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-    return files.select("path", F.arrow_udf(_parse_batches, RECORD).asNondeterministic()("content").alias("record"))
+    return files.select("path", parsed("content", codecs).alias("record"))
 
 
 def errors(records: DataFrame) -> DataFrame:
@@ -244,9 +273,20 @@ def _first(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def to_cohort(records: DataFrame) -> tuple[Cohort, DataFrame]:
-    """(cohort, frames) from parsed records: the first file, by path, decides about its ancestors."""
+def to_cohort(records: DataFrame, known: DataFrame | None = None) -> tuple[Cohort, DataFrame]:
+    """(cohort, frames) from parsed records: the first file, by path, decides about its ancestors.
+
+    Of files with one instance uid the first, by path, counts, and none whose uid is in ``known``
+    (sop_instance_uid): its row, nested items and frames come or stay out together. The paths that
+    stay out are found on narrow rows, so pixels aren't shuffled for it where those are few.
+    """
     good = records.filter("record.error is null").select(F.col("path").alias("file_path"), "record.*")
+    own = good.select("sop_instance_uid", "file_path")
+    rank = F.row_number().over(Window.partitionBy("sop_instance_uid").orderBy("file_path"))
+    late = own.withColumn("_rank", rank).filter("_rank > 1").select("file_path")
+    if known is not None:
+        late = late.unionByName(own.join(known.select("sop_instance_uid").distinct(), "sop_instance_uid", "left_semi").select("file_path"))
+    good = good.join(late.distinct(), "file_path", "left_anti")
     patients = _first(good.select("patient_id", "patient_name", "file_path"), "patient_id").drop("file_path")
     studies = _first(good.select("study_instance_uid", "patient_id", parse_date(F.col("study_date")).alias("study_date"), "study_time", F.lit(False).alias("date_shifted"), "file_path"), "study_instance_uid").drop("file_path")
     machine = F.col("manufacturer").isNotNull() | F.col("model_name").isNotNull()
@@ -277,9 +317,25 @@ def _encoded(vr: str, value: str) -> bytes:
     return value.encode("utf-8")
 
 
-def write(attributes: dict[str, str], items: list[dict] = (), pixels: bytes | None = None, bits: int = 16) -> bytes:
+def _shape(row: dict) -> tuple[int, int, int]:
+    return row["rows"] * row["cols"], row["samples"], row["frames"]
+
+
+def _fragments(pixels: bytes, shape: tuple[int, int, int], wide: int) -> bytes:
+    """Pixels as a sequence of fragments: an empty table of offsets, then one RLE fragment a frame."""
+    plane, samples, frames = shape
+    size, out = plane * samples * wide, struct.pack("<HHI", 0xFFFE, 0xE000, 0)
+    for k in range(frames):
+        packed = pack_rle(pixels[k * size : (k + 1) * size], plane, samples, wide)
+        out += struct.pack("<HHI", 0xFFFE, 0xE000, len(packed)) + packed
+    return struct.pack("<HH2sHI", 0x7FE0, 0x0010, b"OW", 0, 0xFFFFFFFF) + out + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+
+
+def write(attributes: dict[str, str], items: list[dict] = (), pixels: bytes | None = None, bits: int = 16, rle: tuple[int, int, int] | None = None) -> bytes:
     """An explicit little-endian file. Nested items are rebuilt from their paths.
 
+    ``rle`` is (pixels of a plane, samples, frames) and stores the pixels compressed.
+
     A code in an attribute that is a sequence becomes an item; sealed attributes go into theirs.
     """
     codes = {t: v for t, v in attributes.items() if VR_OF.get(t) == "SQ"}
@@ -289,11 +345,11 @@ def write(attributes: dict[str, str], items: list[dict] = (), pixels: bytes | No
     for t, code in codes.items():
         items += [{"item_path": f"{t}[0]", "tag": tag, "vr": "SH", "value": v} for tag, v in (("0008,0100", code), ("0008,0102", "DCM"))]
     items += [{"item_path": f"{SEALED_SEQUENCE}[0]", "tag": t, "vr": VR_OF[t], "value": v} for t, v in sealed.items()]
-    meta = _element("0002,0001", "OB", b"\0\1") + _element("0002,0002", "UI", (attributes.get("0008,0016") or "").encode()) + _element("0002,0003", "UI", attributes["0008,0018"].encode()) + _element("0002,0010", "UI", EXPLICIT.encode())
+    meta = _element("0002,0001", "OB", b"\0\1") + _element("0002,0002", "UI", (attributes.get("0008,0016") or "").encode()) + _element("0002,0003", "UI", attributes["0008,0018"].encode()) + _element("0002,0010", "UI", (RLE if rle else EXPLICIT).encode())
     body = {t: _element(t, VR_OF.get(t, "LO" if len(v) <= 64 else "UT"), _encoded(VR_OF.get(t, "LO" if len(v) <= 64 else "UT"), v)) for t, v in attributes.items() if v is not None and t.count(",") == 1 and not t.startswith(("_", "0000", "0002", "7fe0"))}
     body |= _nested("", list(items))
     if pixels is not None:
-        body[PIXELS] = _element(PIXELS, "OB" if bits <= 8 else "OW", pixels)
+        body[PIXELS] = _fragments(pixels, rle, bits // 8) if rle else _element(PIXELS, "OB" if bits <= 8 else "OW", pixels)
     return bytes(128) + b"DICM" + _element("0002,0000", "UL", struct.pack("<I", len(meta))) + meta + b"".join(body[t] for t in sorted(body))
 
 
@@ -318,8 +374,41 @@ def _nested(base: str, items: list[dict]) -> dict[str, bytes]:
     return out
 
 
-def export(rows: DataFrame) -> DataFrame:
-    """Write (path, attributes, items, pixels, bits) rows as files; returns (path, error) per row.
+def pack_rle(pixels: bytes, plane: int, samples: int, wide: int) -> bytes:
+    """One frame as byte planes of PackBits runs, most significant byte first."""
+    planes = np.frombuffer(pixels, np.uint8).reshape(plane, samples, wide)[:, :, ::-1].transpose(1, 2, 0).reshape(-1, plane)
+    segments = []
+    for values in planes:
+        ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, plane)
+        out, literal, start = bytearray(), 0, 0
+        raw = values.tobytes()
+
+        def flush(upto: int) -> None:
+            nonlocal literal
+            for at in range(literal, upto, 128):
+                part = raw[at : min(at + 128, upto)]
+                out.append(len(part) - 1)
+                out.extend(part)
+            literal = upto
+
+        for end in ends.tolist():
+            if end - start > 2:
+                flush(start)
+                for at in range(start, end, 128):
+                    n = min(128, end - at)
+                    out.extend((257 - n, raw[at]) if n > 1 else (0, raw[at]))
+                literal = end
+            start = end
+        flush(plane)
+        segments.append(bytes(out) + (b"\0" if len(out) % 2 else b""))
+    offsets = np.cumsum([64, *map(len, segments[:-1])]).tolist()
+    return struct.pack("<16I", len(segments), *offsets, *[0] * (15 - len(segments))) + b"".join(segments)
+
+
+def export(rows: DataFrame, compress: bool = False) -> DataFrame:
+    """Write (path, attributes, items, pixels, bits, ...) rows as files; returns (path, error) per row.
+
+    ``compress`` stores pixels as RLE, which needs rows, cols, samples and frames beside them.
 
     Paths are URIs of any store that Arrow's file systems open; a task writes its own rows.
     """
@@ -334,11 +423,12 @@ def export(rows: DataFrame) -> DataFrame:
                     store, at = fs.FileSystem.from_uri(row["path"] if "://" in row["path"] else f"file://{row['path']}")
                     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     with store.open_output_stream(at) as f:
-                        f.write(write(dict(row["attributes"]), row["items"] or [], row["pixels"], row["bits"] or 16))
+                        f.write(write(dict(row["attributes"]), row["items"] or [], row["pixels"], row["bits"] or 16, _shape(row) if compress and row["pixels"] else None))
                     failed.append(None)
                 except (OSError, ValueError, KeyError, struct.error) as e:
                     failed.append(f"{type(e).__name__}: {e}")
                 paths.append(row["path"])
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(failed, pa.string())], ["path", "error"])
 
-    return rows.select("path", "attributes", "items", "pixels", "bits").mapInArrow(run, "path string, error string")
+    shape = [c for c in ("rows", "cols", "samples", "frames") if c in rows.columns]
+    return rows.select("path", "attributes", "items", "pixels", "bits", *shape).mapInArrow(run, "path string, error string")

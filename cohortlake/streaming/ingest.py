@@ -1,31 +1,26 @@
-"""Streams: files into the catalog as they arrive, and audit counts by time window."""
+"""Files into a session's cohort as they arrive."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.catalog import Catalog
+from ..session import Session
 from ..sources import dicom
 
 
-def audit_counts(log: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(start, action_type, n) of a stream or table of log rows; later rows than ``late`` are left out of a stream."""
-    counted = log.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "action_type").agg(F.count("*").alias("n"))
-    return counted.select(F.col("w.start").alias("start"), "action_type", "n")
-
-
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New files below a folder as they appear."""
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
 
-def ingest_stream(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str):
-    """A query that parses new files and appends them; a batch that comes twice is written once."""
+def ingest_stream(session: Session, folder: str, checkpoint: str, name: str = "stream"):
+    """A query that parses new files and adds them to the session's cohort.
+
+    A batch that comes twice adds nothing the second time: its instances are known, and its rows carry
+    the stream's name and the batch's number as a tag.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        parsed = F.arrow_udf(dicom._parse_batches, dicom.RECORD).asNondeterministic()("content")
-        records = batch.select("path", parsed.alias("record"))
-        records.write.mode("overwrite").parquet(f"{catalog.folder}/records/batch={batch_id}")
+        session.add_records(batch.select("path", dicom.parsed("content", session.codecs).alias("record")), f"{name}-{batch_id}")
 
-    return file_stream(spark, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return file_stream(session.spark, folder).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -13,6 +13,9 @@ from cohortlake.functions import dates, naming, tags
         ("20230515.104822.677000", 10, "20230525.104822.677000"), ("20230515.104822.677", 10, "20230525.104822.677"), ("2024-05-11", 10, "2024-05-21"),
         ("20200228", 1, "20200229"), ("2024-05-11 10:48:22", -1, "2024-05-10 10:48:22"), ("2024-05-11T10:48:22", 366, "2025-05-12T10:48:22"), (" 20230515 ", 1, "20230516"),
         ("", 10, None), (None, 10, None), ("NotADate", 10, None), ("20230231", 10, None), ("2023515", 10, None), ("2023-5-1", 10, None),
+        ("20230515104822.677+0100", 10, "20230525104822.677+0100"), ("20230515104822-0500", 10, "20230525104822-0500"), ("202305151048", 10, "202305251048"), ("2023051510", 10, "2023052510"),
+        ("202305", -40, "202303"), ("2023", -1, "2022"), ("20230101-20230131", 10, "20230111-20230210"), ("20230101-", 10, "20230111-"), ("-20230131", 10, "-20230210"),
+        ("20230101-20230231", 10, None), ("202313", 1, None), ("2023051525", 1, None), ("2024-05-11T10:48:22.5+01:00", 1, "2024-05-12T10:48:22.5+01:00"),
     ],
 )
 def test_shift_text(spark, raw, days, shifted):
