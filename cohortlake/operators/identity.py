@@ -69,12 +69,18 @@ def decrypt(df: DataFrame, column: str, key: str, out: str) -> DataFrame:
     return split.withColumn(out, plain.cast("string")).drop("_ipad", "_opad", "_aes", "_raw")
 
 
+def _owned(cohort: Cohort) -> DataFrame:
+    """Instances with their patient's id."""
+    if cohort.placed:
+        return cohort.instances.withColumn("patient_id", F.col("of_patient"))
+    return cohort.instances.join(cohort.series.select("series_instance_uid", "study_instance_uid"), "series_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid")
+
+
 def tokens(cohort: Cohort, key: str, patient_ids: DataFrame | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> DataFrame:
     """(patient_id, token): each patient's attributes, of the first instance by uid, encrypted once."""
     patients = cohort.patients.join(patient_ids.select("patient_id").distinct(), "patient_id", "left_semi") if patient_ids is not None else cohort.patients
-    owned = cohort.instances.join(cohort.series.select("series_instance_uid", "study_instance_uid"), "series_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid")
     wanted = F.map_filter("attributes", lambda k, v: k.isin(*tags) & ~k.isin("0010,0010", "0010,0020"))
-    first = owned.groupBy("patient_id").agg(F.min_by(wanted, "sop_instance_uid").alias("rest"))
+    first = _owned(cohort).groupBy("patient_id").agg(F.min_by(wanted, "sop_instance_uid").alias("rest"))
     content = F.to_json(F.map_concat(F.create_map(F.lit("0010,0010"), F.coalesce("patient_name", F.lit("")), F.lit("0010,0020"), F.col("patient_id")), "rest"))
     return encrypt(patients.join(first, "patient_id").withColumn("_content", content), "_content", key, "token").select("patient_id", "token")
 
@@ -82,10 +88,14 @@ def tokens(cohort: Cohort, key: str, patient_ids: DataFrame | None = None, tags:
 def lock(cohort: Cohort, key: str, patient_ids: DataFrame | None = None, tags: tuple[str, ...] = DEFAULT_TAGS) -> Cohort:
     """Every instance of the patients carries the patient's token, whichever it had before."""
     made = tokens(cohort, key, patient_ids, tags)
-    by_series = cohort.series.select("series_instance_uid", "study_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid").join(made, "patient_id").select("series_instance_uid", "token")
+    if cohort.placed:
+        met = cohort.instances.join(made.withColumnRenamed("patient_id", "of_patient"), "of_patient", "left")
+    else:
+        by_series = cohort.series.select("series_instance_uid", "study_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid").join(made, "patient_id").select("series_instance_uid", "token")
+        met = cohort.instances.join(by_series, "series_instance_uid", "left")
     kept = F.map_filter("attributes", lambda k, v: ~k.isin(TOKEN, TOKEN_SYNTAX))
     sealed = F.map_concat(kept, F.create_map(F.lit(TOKEN), F.col("token"), F.lit(TOKEN_SYNTAX), F.lit(SYNTAX)))
-    instances = cohort.instances.join(by_series, "series_instance_uid", "left").withColumn("attributes", F.when(F.col("token").isNotNull(), sealed).otherwise(F.col("attributes")))
+    instances = met.withColumn("attributes", F.when(F.col("token").isNotNull(), sealed).otherwise(F.col("attributes")))
     return replace(cohort, instances=instances.select(cohort.instances.columns))
 
 
@@ -96,8 +106,9 @@ def missing_patients(cohort: Cohort, ids: DataFrame) -> DataFrame:
 
 def recover(cohort: Cohort, key: str) -> DataFrame:
     """(patient_id, original): the attributes in each patient's token; null if it can't be read."""
-    owned = cohort.instances.join(cohort.series.select("series_instance_uid", "study_instance_uid"), "series_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid")
-    one = owned.select("patient_id", "sop_instance_uid", F.col("attributes")[TOKEN].alias("token")).filter("token is not null").groupBy("patient_id").agg(F.min_by("token", "sop_instance_uid").alias("token"))
+    one = _owned(cohort).select("patient_id", "sop_instance_uid", F.col("attributes")[TOKEN].alias("token"))
+    # min_by passes over null uids; a filter before it would work every token out twice
+    one = one.groupBy("patient_id").agg(F.min_by("token", F.when(F.col("token").isNotNull(), F.col("sop_instance_uid"))).alias("token")).filter("token is not null")
     return decrypt(one, "token", key, "_json").select("patient_id", F.from_json("_json", "map<string,string>").alias("original"))
 
 
@@ -112,5 +123,7 @@ def restore(cohort: Cohort, key: str, patient_id: str | None = None) -> Cohort:
     home = cohort.series.select("series_instance_uid", "study_instance_uid").join(cohort.studies.select("study_instance_uid", "patient_id"), "study_instance_uid").join(found, match).select("series_instance_uid", "original")
     back = F.map_concat(F.map_filter("attributes", lambda k, v: ~F.map_contains_key("original", k)), "original")
     instances = cohort.instances.join(home, "series_instance_uid", "left").withColumn("attributes", F.when(F.col("original").isNotNull(), back).otherwise(F.col("attributes"))).select(cohort.instances.columns)
+    if cohort.placed:
+        instances = instances.join(found, F.col("of_patient") == F.col("_pid"), "left").withColumn("of_patient", F.coalesce(F.col("original")["0010,0020"], "of_patient")).select(cohort.instances.columns)
     studies = cohort.studies.join(found, match, "left").withColumn("patient_id", new_id).select(cohort.studies.columns)
     return replace(cohort, patients=patients, studies=studies, instances=instances)

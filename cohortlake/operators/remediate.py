@@ -84,7 +84,8 @@ def apply_policy(cohort: Cohort, config: Configuration) -> Cohort:
     """
     low, high = config.date_jitter
     pid, name = F.col("patient_id"), F.col("patient_name")
-    new_id = F.when((pid != "") & (pid != "UNKNOWN") & ~pid.startswith(PSEUDONYM), pseudonym(pid)).otherwise(pid)
+    renamed = lambda x: F.when((x != "") & (x != "UNKNOWN") & ~x.startswith(PSEUDONYM), pseudonym(x)).otherwise(x)
+    new_id = renamed(pid)
     new_name = F.when((name != "") & ~name.isin("Unknown", NAME_REPLACEMENT), NAME_REPLACEMENT).otherwise(name)
     was = F.coalesce("date_shifted", F.lit(False))
     moved = F.when(F.col("study_date").isNotNull() & ~was, shift_date(F.col("study_date"), shift_days(pid, low, high))).otherwise(F.col("study_date"))
@@ -100,7 +101,7 @@ def apply_policy(cohort: Cohort, config: Configuration) -> Cohort:
         by_text.setdefault(NAME_REPLACEMENT if given is None else given, []).append(tag)
 
     def new_value(k: Column, v: Column) -> Column:
-        out = F.when(v.isNull() | (v == ""), v).when(inside(k, of("EMPTY")), "")
+        out = F.when(v.isNull() | (v == "") | ~inside(k, of("EMPTY", "REPLACE", "SHIFT", "JITTER")), v).when(inside(k, of("EMPTY")), "")
         for text, tags in by_text.items():
             out = out.when(inside(k, tags), text)
         if of("SHIFT", "JITTER"):
@@ -109,11 +110,17 @@ def apply_policy(cohort: Cohort, config: Configuration) -> Cohort:
 
     instances, items = cohort.instances, cohort.seq_items
     if of("SHIFT", "JITTER"):
-        days = owners(cohort).filter("not date_shifted").select("series_instance_uid", shift_days(pid, low, high).alias("_days"))
-        instances = instances.join(days, "series_instance_uid", "left")
+        if cohort.placed:
+            instances = instances.withColumn("_days", F.when(~F.col("of_shifted"), shift_days(F.col("of_patient"), low, high)))
+        else:
+            days = owners(cohort).filter("not date_shifted").select("series_instance_uid", shift_days(pid, low, high).alias("_days"))
+            instances = instances.join(days, "series_instance_uid", "left")
         items = items.join(instances.select("sop_instance_uid", "_days"), "sop_instance_uid", "left") if items is not None else None
     kept = F.map_filter("attributes", lambda k, v: ~removed(k))
-    instances = instances.withColumn("attributes", F.transform_values(kept, new_value)).select(cohort.instances.columns)
+    instances = instances.withColumn("attributes", F.transform_values(kept, new_value))
+    if cohort.placed:
+        instances = instances.withColumns({"of_date": F.when(F.col("of_shifted"), F.col("of_date")).otherwise(shift_date(F.col("of_date"), shift_days(F.col("of_patient"), low, high))), "of_shifted": F.col("of_shifted") | F.col("of_date").isNotNull(), "of_patient": renamed(F.col("of_patient"))})
+    instances = instances.select(cohort.instances.columns)
     out = replace(cohort, patients=patients, studies=studies, instances=instances)
     if items is None:
         return out

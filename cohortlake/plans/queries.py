@@ -701,7 +701,7 @@ SELECT 'ANON_' || substr(sha256(patient_id), 1, 12) AS patient_id, patient_id AS
 def locked_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed, anonymised and recovered: what each patient's token says."""
     key = "MDEyMzQ1Njc4OWFiY2RlZjAxMjM0NTY3ODlhYmNkZWY="
-    locked = identity.lock(model.from_tables(spark, sf_dir), key)
+    locked = identity.lock(model.placed_tables(spark, sf_dir, by_patient=True, tags=identity.DEFAULT_TAGS), key)
     found = identity.recover(remediate.apply_policy(locked, POLICY), key)
     tags = {"original_id": "0010,0020", "original_name": "0010,0010", "sex": "0010,0040", "accession": "0008,0050"}
     return found.select("patient_id", *(F.col("original")[t].alias(c) for c, t in tags.items()))
