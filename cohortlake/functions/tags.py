@@ -21,7 +21,7 @@ def canonical(tag: str | Column) -> Column:
 def is_private(tag: Column) -> Column:
     """Odd group number, own tags excepted; malformed tags are not private."""
     odd = F.substring(tag, 4, 1).isin(*"13579bdfBDF")
-    return tag.rlike("^[0-9a-fA-F]{4},") & odd & ~F.lower(tag).isin(*OWN_PRIVATE_TAGS)
+    return odd & tag.rlike("^[0-9a-fA-F]{4},") & ~F.lower(tag).isin(*OWN_PRIVATE_TAGS)
 
 
 def without_tags(attributes: Column, drop) -> Column:

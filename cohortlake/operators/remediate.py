@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import shift_date, shift_days, shift_text, unreadable
 from ..functions.tags import BURNED_IN, IMAGE_TYPE, canonical, is_private
-from ..plans.cohort import Cohort
+from ..plans.cohort import HOME, Cohort
 from ..sources.policy import Configuration
-from .audit import NAME_REPLACEMENT, PSEUDONYM, owners, pseudonym
+from .audit import NAME_REPLACEMENT, PSEUDONYM, audit, own_proposals, owners, pseudonym
 
 DEID_METHOD, DEID_METHOD_CODES = "0012,0063", "0012,0064"
 DERIVATION, DERIVATION_CODES = "0008,2111", "0008,9215"
@@ -34,8 +34,29 @@ def _edits(findings: DataFrame) -> DataFrame:
     return direct.groupBy("entity_uid").agg(tags("REMOVE_TAG").alias("_remove"), new.alias("_replace"), tags("SHIFT_DATE").alias("_shift"), F.first("patient_id").alias("_patient"))
 
 
-def remediate(cohort: Cohort, findings: DataFrame, config: Configuration) -> Cohort:
-    """The cohort with every proposal carried out. Unreadable dates stay as they are."""
+def _own_edits(instances: DataFrame, config: Configuration) -> DataFrame:
+    """Placed instances with the same edits, from their own findings, which stay beside them."""
+    found = instances.withColumn("_found", F.sort_array(own_proposals(config, F.col("of_shifted"))))
+    first = found.withColumn("_found", F.filter("_found", lambda f, i: (i == 0) | (f.target_attr != F.get("_found", i - 1).target_attr)))
+    of = lambda action: F.filter("_found", lambda f: f.action_type == action)
+    tags = lambda action: F.transform(of(action), lambda f: f.target_attr)
+    new = F.map_from_entries(F.transform(of("REPLACE_TAG"), lambda f: F.struct(f.target_attr, f.new_value)))
+    return first.withColumns({"_remove": tags("REMOVE_TAG"), "_replace": new, "_shift": tags("SHIFT_DATE"), "_patient": F.col("of_patient")})
+
+
+def remediate_own(cohort: Cohort, config: Configuration) -> Cohort:
+    """A placed cohort with every proposal of its own audit carried out.
+
+    The same as ``remediate`` with all findings, but an instance's findings never leave its row.
+    """
+    return remediate(cohort, audit(cohort, config, own=False), config, own=True)
+
+
+def remediate(cohort: Cohort, findings: DataFrame, config: Configuration, own: bool = False) -> Cohort:
+    """The cohort with every proposal carried out. Unreadable dates stay as they are.
+
+    With ``own``, placed instances are audited here, and the findings are all others.
+    """
     low, high = config.date_jitter
     proposed = findings.filter("action_type is not null")
     of = lambda kind: proposed.filter(F.col("entity_type") == kind)
@@ -54,7 +75,12 @@ def remediate(cohort: Cohort, findings: DataFrame, config: Configuration) -> Coh
     dated = dated.withColumn("study_date", F.when(moves, shift_date(F.col("study_date"), days)).otherwise(F.col("study_date"))).withColumn("date_shifted", F.coalesce("date_shifted", F.lit(False)) | moves).drop("_study")
     studies = dated.join(new_ids, F.col("patient_id") == F.col("entity_uid"), "left").withColumn("patient_id", F.coalesce("_id", "patient_id")).select(cohort.studies.columns)
 
-    instances = cohort.instances.join(_edits(proposed), F.col("sop_instance_uid") == F.col("entity_uid"), "left").withColumn("attributes", _edited(low, high)).select(cohort.instances.columns)
+    edits = _own_edits(cohort.instances, config) if own else cohort.instances.join(_edits(proposed), F.col("sop_instance_uid") == F.col("entity_uid"), "left")
+    instances = edits.withColumn("attributes", _edited(low, high))
+    if cohort.placed:
+        now = studies.select(*(F.col(c).alias(h) for c, h in zip(("study_instance_uid", "patient_id", "study_date", "date_shifted"), HOME)))
+        instances = instances.drop(*HOME[1:]).join(now, "of_study", "left")
+    instances = instances.select(cohort.instances.columns)
     out = replace(cohort, patients=patients, studies=studies, instances=instances)
     return replace(out, seq_items=_nested(cohort.seq_items, proposed, low, high)) if cohort.seq_items is not None else out
 

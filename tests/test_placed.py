@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators import identity, remediate
+from cohortlake.operators import audit, identity, remediate
 from cohortlake.plans import cohort as model
 from cohortlake.plans import queries
 
@@ -79,3 +79,17 @@ def test_restored_as_locked(spark, odd):
 def test_locked_shuffles_little(spark):
     """Neither tokens nor attributes of instances are shuffled."""
     assert shuffled(spark, queries.queries()["locked_identities"](spark, FOLDER)) < 100 * lines(spark)
+
+
+def test_own_findings_as_all(spark, odd):
+    """Findings that stay in their rows change what those listed one by one change."""
+    placed = model.placed_tables(spark, odd)
+    own, all_of = remediate.remediate_own(placed, queries.POLICY), remediate.remediate(placed, audit.audit(placed, queries.POLICY), queries.POLICY)
+    told = lambda whole: rows(whole.instances.select("sop_instance_uid", "of_study", "of_patient", "of_date", "of_shifted", F.array_sort(F.map_entries("attributes"))).distinct())
+    assert told(own) == told(all_of) != told(placed)
+    assert rows(own.studies) == rows(all_of.studies) and rows(own.patients) == rows(all_of.patients)
+
+
+def test_audit_shuffles_little(spark):
+    """No finding of an instance's attributes is shuffled."""
+    assert shuffled(spark, queries.queries()["audit_after_remediate"](spark, FOLDER)) < 100 * lines(spark)
